@@ -1,5 +1,5 @@
 """All registered queries: name -> (callable of session and data folder, reference SQL or None)."""
 
-from auctionlake.plans import catalog_reports
+from auctionlake.plans import catalog_reports, catalog_text
 
-CATALOG = {**catalog_reports.QUERIES}
+CATALOG = {**catalog_reports.QUERIES, **catalog_text.QUERIES}

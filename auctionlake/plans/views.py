@@ -148,7 +148,41 @@ from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey
   join dim_county_v on k = c_nationkey""",
 }
 
+VIEWS["texts_v"] = """
+select o_orderkey as tid,
+  case o_orderkey % 4 when 0 then 'Bid not available yet'
+    when 1 then 'Bid upset 07/24/2026 from $1.00, increasing bid to $' || cast(o_custkey % 900 + 1 as @str) || ',' ||
+      lpad(cast(o_orderkey % 1000 as @str), 3, '0') || '.07'
+    when 2 then '$' || cast(o_custkey % 900 + 1 as @str) || '.50' else '' end as bid_text,
+  case o_orderkey % 3 when 0 then 'not set' when 1 then 'on ' || cast(o_orderkey % 12 + 1 as @str) || '/' ||
+      cast(o_custkey % 28 + 1 as @str) || '/2026 10:00' else '' end as sale_text,
+  case o_orderkey % 5 when 0 then ' Somewhere ' when 1 then 'Old Town, NC ' || cast(28000 + o_custkey % 900 as @str) || '-1234'
+    else 'Town' || cast(o_custkey % 40 as @str) || ', NC ' || cast(28000 + o_custkey % 900 as @str) end as city_line,
+  case o_orderkey % 6 when 0 then 'whenever' else 'TZID=America/New_York:2026' || lpad(cast(o_orderkey % 12 + 1 as @str), 2, '0') ||
+    lpad(cast(o_custkey % 28 + 1 as @str), 2, '0') || 'T' || lpad(cast(o_custkey % 24 as @str), 2, '0') ||
+    lpad(cast(o_orderkey % 60 as @str), 2, '0') || '00' || case when o_orderkey % 6 = 1 then 'Z' else '' end end as stamp,
+  case o_orderkey % 4 when 0 then 'https://gis.example/?PINN=' || cast(o_orderkey as @str) || '-0&x=1'
+    when 1 then 'https://gis.example/?pid=' || cast(o_orderkey as @str) when 2 then '' else 'https://gis.example/' end as link,
+  case o_orderkey % 3 when 0 then 'http://cal.example/event/' || cast(o_orderkey as @str) when 1 then ' u' || cast(o_orderkey as @str) || ' '
+    else '' end as uid,
+  case o_orderkey % 3 when 0 then upper(county) || ' County  Tax Office' when 1 then county || ' tax office' else 'Clerk of Court' end as office,
+  '<p>a <b>' || cast(o_orderkey as @str) || '</b>  c</p>' as html,
+  'x' || cast(o_orderkey as @str) || chr(92) || ', y' || chr(92) || '; z' || chr(92) || 'n' || 'w' || chr(92) || chr(92) as escaped,
+  case when o_orderkey % 2 = 0 then 'https://n.example/(S(a' || cast(o_orderkey as @str) || 'z))/Details.aspx?ID=1'
+    else 'https://n.example/Details.aspx' end as portal,
+  case o_orderkey % 3 when 0 then '26SP' || lpad(cast(o_orderkey as @str), 6, '0') || '-100' when 1 then '19SP' || lpad(cast(o_orderkey as @str), 6, '0')
+    else 'none' end as sp_text,
+  case o_orderkey % 3 when 0 then 'NORTH CAROLINA, ' || upper(county) || ' COUNTY'
+    when 1 then 'SUPERIOR Court DIVISION ' || upper(substr(county, 1, 1)) || substr(county, 2) || ' COUNTY' else 'no place' end as nc_text,
+  case o_orderkey % 4 when 0 then 'TENNESSEE, ' || upper(county) || ' COUNTY' when 1 then upper(county) || ' COUNTY, TENNESSEE'
+    when 2 then 'at the north door, ' || upper(substr(county, 1, 1)) || substr(county, 2) || ' County Courthouse' else 'no place' end as tn_text,
+  case o_orderkey % 3 when 0 then 'Notice of sale' || chr(10) || 'Posted Jan ' || cast(o_custkey % 28 + 1 as @str) || chr(10) || 'text'
+    when 1 then 'Posted Jan 1' || chr(10) || 'Updated Feb ' || cast(o_custkey % 28 + 1 as @str) else 'nothing' end as card,
+  o_orderkey, o_custkey, county
+from orders join customer on c_custkey = o_custkey join dim_county_v on k = c_nationkey"""
+
 _NEEDS = {
+    "texts_v": ("dim_county_v",),
     "listings_v": ("dim_county_v",), "parcels_v": ("dim_county_v",), "feed_v": ("dim_county_v",),
     "notices_v": ("dim_county_v",),
 }
