@@ -18,10 +18,15 @@ from auctionlake.functions.parcel import (
     words_overlap,
 )
 from auctionlake.operators.filters import needs_address_enrichment, needs_enrichment
+from auctionlake.schema import PROPERTY_COLUMNS
 
 PARCEL_FIELDS = (
     "parno", "cntyname", "acres", "owner_name", "land_use", "latitude", "longitude", "is_clean", "feature_id",
 )
+WRITTEN = (
+    "acres", "acres_source", "gis_county", "owner_name", "parcel_number", "land_use", "gis_url", "google_maps_url",
+    "google_maps_topo_url", "latitude", "longitude",
+)
 LINK_FIELDS = ("latitude", "longitude", "gis_url", "google_maps_url", "google_maps_topo_url")
 
 
@@ -304,8 +309,10 @@ def apply_parcels(matched: DataFrame, number_may_lack: bool = True) -> DataFrame
     """Table rows with the acreage, canonical number, owner, land use, place and links of their ``match``.
 
     Rows whose match has no acreage stay as they are. ``number_may_lack`` keeps the listing's own
-    number when the parcel has none.
+    number when the parcel has none. Columns the table lacks are added.
     """
+    missing = [c for c in WRITTEN if c not in matched.columns]
+    matched = matched.withColumns({c: F.lit(None).cast(PROPERTY_COLUMNS[c]) for c in missing})
     m = F.col("match")
     ok = F.coalesce(m["acres"] > 0, F.lit(False))
     county = F.coalesce(blank_to_null(m["cntyname"]), F.col("county"))

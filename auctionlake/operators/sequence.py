@@ -82,10 +82,10 @@ def dense_index(df: DataFrame, name: str, out: str = "index") -> DataFrame:
     mids = mids.select(hi, mid, (F.col("_before") + F.col("_top")).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy(hi, mid).orderBy(name))
     return (
-        staged.withColumn("_rank", rank)
+        staged.withColumn("_inner", rank)
         .join(mids, [hi, mid])
-        .withColumn(out, F.col("_rank") + F.col("_offset"))
-        .drop(hi, mid, "_rank", "_offset")
+        .withColumn(out, F.col("_inner") + F.col("_offset"))
+        .drop(hi, mid, "_inner", "_offset")
     )
 
 

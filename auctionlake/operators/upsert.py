@@ -152,6 +152,15 @@ def _resolve(states: DataFrame, current: DataFrame) -> DataFrame:
     return states.withColumn("pid", F.coalesce("match_id", -1 - F.col("created_ord")))
 
 
+def route_matches(batch: DataFrame, current: DataFrame, today: date, order: str = "ord") -> DataFrame:
+    """Natural keys and address hashes of a batch: sightings, and the property each one meets or creates."""
+    states = _resolve(_fold_routes(routed(batch, order), today), with_columns_of(current, PROPERTY_COLUMNS))
+    return states.select(
+        F.col("_kind").alias("route"), F.col("base.v.source").alias("source"), F.col("_b").alias("source_listing_id"),
+        F.col("base.v.address").alias("address"), F.col("n").alias("sightings"), "match_id", "created_ord",
+    )
+
+
 def _spellings(rows: DataFrame, states: DataFrame, c: str) -> DataFrame:
     """(pid, spelled): first spelling in the final run of values that are equal but for padding; of blank
     values the last one."""

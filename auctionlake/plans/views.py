@@ -181,7 +181,18 @@ select o_orderkey as tid,
   o_orderkey, o_custkey, county
 from orders join customer on c_custkey = o_custkey join dim_county_v on k = c_nationkey"""
 
+# One stored row per natural key, or per address where there is no key, from the even-numbered sightings.
+VIEWS["current_v"] = """
+select s.ord as id, s.source, s.source_listing_id, s.address, s.price_cents, s.acres, s.auction_date, s.upset_bid,
+  s.parcel_number, s.google_maps_url, case when s.ord % 3 = 0 then ' 1 ' else s.initial_auction_date end as initial_auction_date,
+  date '1998-01-01' as first_seen, date '1998-01-02' as last_seen, cast(null as date) as last_updated,
+  cast(1 + s.ord % 3 as int) as seen_count, case when s.ord % 5 = 0 then 'archived' else 'active' end as status,
+  case when s.ord % 9 = 0 then '2026-01-02' end as manual_acres_set
+from sightings_v s join (select min(ord) as ord from sightings_v where ord % 2 = 0
+  group by case when source_listing_id is null then address else source || '|' || source_listing_id end) f on f.ord = s.ord"""
+
 _NEEDS = {
+    "current_v": ("sightings_v",),
     "texts_v": ("dim_county_v",),
     "listings_v": ("dim_county_v",), "parcels_v": ("dim_county_v",), "feed_v": ("dim_county_v",),
     "notices_v": ("dim_county_v",),

@@ -1,0 +1,25 @@
+"""Folders that all executors see, for checkpoints and intermediate tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+_fallback: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = tempfile.mkdtemp(prefix="spark-")
+    return _fallback[app]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
