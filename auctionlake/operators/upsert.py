@@ -12,7 +12,8 @@ non-negative long), later ones seeing what earlier ones left. Done set-wise:
    sighting that creates one, and the partial folds meeting in one property are merged.
 4. The outcome is joined to the table on its id: unique on both sides, so without skew.
 
-The batch is shuffled once and read a second time only for per-sighting actions.
+The batch is shuffled once and read a second time only for per-sighting actions. ``upsert`` runs
+the folding when it is called and leaves the writing of its results to the caller.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from auctionlake.functions.base import BLANKS, filled, truthy
 from auctionlake.functions.keys import dedup_hash
 from auctionlake.operators.sequence import dense_index
 from auctionlake.schema import PROPERTY_COLUMNS, SIGHTING_COLUMNS, with_columns_of
+from auctionlake.shared import stage
 
 # Rules by column; everything else keeps the value it was created with.
 LAST = (
@@ -110,6 +112,7 @@ def _fold_routes(rows: DataFrame, today: date) -> DataFrame:
             F.max(_tagged(v, v.isNotNull())).alias(f"ls_{c}"),
             F.min(_trim(v)).alias(f"lo_{c}"),
             F.max(_trim(v)).alias(f"hi_{c}"),
+            F.coalesce(F.bool_or(v != _trim(v)), F.lit(False)).alias(f"pad_{c}"),
         ]
     return rows.groupBy(*ROUTE).agg(*aggs)
 
@@ -125,6 +128,8 @@ def _merge_folds(states: DataFrame) -> DataFrame:
             how[c] = F.min
         elif c.startswith(("lf_", "lk_", "ls_", "hi_")):
             how[c] = F.max
+        elif c.startswith("pad_"):
+            how[c] = F.bool_or
     return states.groupBy("pid").agg(*[f(c).alias(c) for c, f in how.items()])
 
 
@@ -161,37 +166,37 @@ def route_matches(batch: DataFrame, current: DataFrame, today: date, order: str
     )
 
 
-def _spellings(rows: DataFrame, states: DataFrame, c: str) -> DataFrame:
-    """(pid, spelled): first spelling in the final run of values that are equal but for padding; of blank
-    values the last one."""
-    routes = states.select(*ROUTE, "pid")
+def _spellings(rows: DataFrame, states: DataFrame, folds: DataFrame, c: str) -> DataFrame:
+    """(pid, spelled) of properties met with padded values: the first spelling in the final run of values
+    that are equal but for padding; of blank values the last one."""
+    ends = folds.where(f"pad_{c}").select("pid", _trim(F.col(f"ls_{c}.v")).alias("end"))
+    routes = states.select(*ROUTE, "pid").join(ends, "pid")
     vals = rows.where(F.col(c).isNotNull()).select(*ROUTE, "ord", F.col(c).alias("v")).join(routes, list(ROUTE))
-    end = vals.groupBy("pid").agg(_trim(F.max_by("v", "ord")).alias("end"))
-    vals = vals.join(end, "pid")
-    stop = vals.groupBy("pid").agg(F.max(F.when(_trim(F.col("v")) != F.col("end"), F.col("ord"))).alias("stop"))
-    run = vals.join(stop, "pid").where(F.col("stop").isNull() | (F.col("ord") > F.col("stop")))
+    stops = vals.groupBy("pid").agg(F.max(F.when(_trim(F.col("v")) != F.col("end"), F.col("ord"))).alias("stop"))
+    run = vals.join(stops, "pid").where(F.col("stop").isNull() | (F.col("ord") > F.col("stop")))
     pick = F.when(F.max("end") == "", F.max_by("v", "ord")).otherwise(F.min_by("v", "ord"))
-    return run.groupBy("pid").agg(pick.alias("spelled"))
+    return run.groupBy("pid").agg(pick.alias(f"spelled_{c}"))
 
 
-def fold_batch(
-    batch: DataFrame, current: DataFrame, today: date, order: str = "ord", padded: bool | None = None
-) -> DataFrame:
+def fold_batch(batch: DataFrame, current: DataFrame, today: date, order: str = "ord") -> DataFrame:
     """One row per touched property: match_id or created_ord, and the folded state.
 
-    ``padded`` says whether the batch's date texts may carry blanks around them. Unset, a scan of
-    these columns finds out: without padding equal values have one spelling and the last one serves.
+    The states of the routes, and then of the properties, are staged as tables: all results of an upsert
+    read them. Only date texts seen with blanks around them need a second look at the batch; without
+    padding equal values have one spelling and the last one serves.
     """
     rows = routed(batch, order)
-    states = _resolve(_fold_routes(rows, today), current)
+    states = stage(_resolve(_fold_routes(rows, today), current), "routes")
     folds = _merge_folds(states)
+    padded = states.agg(*[F.bool_or(f"pad_{c}").alias(c) for c in LAST_SPELLED]).first()
+    out = folds
     for c in LAST_SPELLED:
-        uneven = padded if padded is not None else not rows.where(F.col(c) != _trim(F.col(c))).isEmpty()
-        if uneven:
-            folds = folds.join(_spellings(rows, states, c).withColumnRenamed("spelled", f"spelled_{c}"), "pid", "left")
-        else:
-            folds = folds.withColumn(f"spelled_{c}", F.col(f"ls_{c}.v"))
-    return folds
+        last = F.col(f"ls_{c}.v")
+        if padded[c]:
+            out = out.join(_spellings(rows, states, folds, c), "pid", "left")
+            last = F.coalesce(f"spelled_{c}", last)
+        out = out.withColumn(f"spelled_{c}", last)
+    return stage(out, "folds")
 
 
 def _created(folds: DataFrame, today: date, current: DataFrame) -> DataFrame:

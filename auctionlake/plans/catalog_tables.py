@@ -16,10 +16,10 @@ from auctionlake.plans.catalog_reports import LV, PV, RV, SV, _on
 from auctionlake.plans.catalog_text import CLEAN_SQL, VIEWER, parcels
 from auctionlake.plans.views import oracle, table, view, with_views
 from auctionlake.schema import PROPERTY_COLUMNS, conform, struct, with_columns_of
+from auctionlake.shared import new_folder
 from auctionlake.sources.sinks import append_runs, read_runs, read_snapshot, write_snapshot
 from auctionlake.streaming import stream
-from auctionlake.streaming.shared import new_folder
-from auctionlake.streaming.store import compact, read_table
+from auctionlake.streaming.store import compact, read_table, write_version
 
 CV = "current_v"
 TODAY = date(1998, 2, 1)
@@ -277,8 +277,6 @@ def st4_upsert(spark, sf):
 def st4_compacted(spark, sf):
     """The stored table after its log is folded into one full version."""
     root = new_folder(spark, "table")
-    from auctionlake.streaming.store import write_version
-
     write_version(stored(spark, sf), root, 0)
     write_version(up.upsert(read_table(spark, root, 1), odd(spark, sf), TODAY).changes, root, 1)
     compact(spark, root, 2)
