@@ -72,7 +72,7 @@ QUERIES = {
             || case when latitude is not null then '|' || printf('%.6f,%.6f', latitude, longitude) else '' end) as dedup_hash
             from listings_v"""),
     ),
-    "c2_acreage": _notice("acres", lambda: text.acreage("text"), "cast(l_quantity as int) + 0.5"),
+    "c2_acreage": _notice("acres", lambda: text.acreage("text"), "cast(cast(l_quantity as int) + 0.5 as double)"),
     "c3_pin": _notice("pin", lambda: text.pin("text"), PIN),
     "c4_normalise_pin": (
         _on(NV, lambda df: df.select("nid", text.normalise_pin(
@@ -111,10 +111,10 @@ QUERIES = {
     ),
     "c17_dollars": (
         _on(FV, lambda df: df.select("rid", money.dollars("currentbid").alias("dollars"))),
-        oracle(FV, "select rid, case when rid % 4 <> 0 then rid % 5000 + 0.25 end as dollars from feed_v"),
+        oracle(FV, "select rid, case when rid % 4 <> 0 then cast(rid % 5000 + 0.25 as double) end as dollars from feed_v"),
     ),
     "c18_last_bid": _texts("last_bid", lambda: money.last_bid("bid_text"), """case tid % 4
-        when 1 then (o_custkey % 900 + 1) * 1000 + tid % 1000 + 0.07 when 2 then o_custkey % 900 + 1.5 end"""),
+        when 1 then (o_custkey % 900 + 1) * 1000 + tid % 1000 + 0.07::double when 2 then o_custkey % 900 + 1.5::double end"""),
     "c19_city_state_zip": (
         _on(TV, lambda df: df.select("tid", money.city_state_zip("city_line").alias("p")).select("tid", "p.*")),
         oracle(TV, """select tid, case tid % 5 when 0 then 'Somewhere' when 1 then 'Old Town' else 'Town' || o_custkey % 40 end as city,
@@ -201,13 +201,13 @@ QUERIES = {
             "notice_auction_date", "notice_acres")),
         oracle(NV, f"""select nid, {TITLE} as county, {CASE} as court_case, {PIN} as extracted_pin, {REF} as extracted_deed_plat,
             case when l_linenumber % 2 = 0 then {REF} end as deed_book, {ADDR} as notice_address, {DAY} as notice_auction_date,
-            cast(l_quantity as int) + 0.5 as notice_acres from notices_v"""),
+            cast(cast(l_quantity as int) + 0.5 as double) as notice_acres from notices_v"""),
     ),
     "normalise_bids_and_dates": (
         _on(TV, lambda df: money.normalise_bids_and_dates(df, "bid_text", "sale_text", "city_line").select(
             "tid", "last_bid", "sale_date", "city", "zip_code")),
-        oracle(TV, """select tid, case tid % 4 when 1 then (o_custkey % 900 + 1) * 1000 + tid % 1000 + 0.07
-              when 2 then o_custkey % 900 + 1.5 end as last_bid,
+        oracle(TV, """select tid, case tid % 4 when 1 then (o_custkey % 900 + 1) * 1000 + tid % 1000 + 0.07::double
+              when 2 then o_custkey % 900 + 1.5::double end as last_bid,
             case when tid % 3 = 1 then '2026-' || lpad(cast(tid % 12 + 1 as varchar), 2, '0') || '-' ||
               lpad(cast(o_custkey % 28 + 1 as varchar), 2, '0') end as sale_date,
             case tid % 5 when 0 then 'Somewhere' when 1 then 'Old Town' else 'Town' || o_custkey % 40 end as city,

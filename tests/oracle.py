@@ -28,6 +28,12 @@ def connect(sf_dir: str):
     return con
 
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
+}
+
+
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
@@ -58,6 +64,10 @@ def compare(spark, con, run, sql, sf_dir):
         return f"columns {got[0]} <> {want[0]}"
     if len(got[1]) != len(want[1]):
         return f"rows {len(got[1])} <> {len(want[1])}"
+    kinds = dict(r[:2] for r in con.execute(f"describe {sql}").fetchall())
+    wrong = {c: (t, kinds[c]) for c, t in df.dtypes if TYPES.get(t) != kinds[c]}
+    if wrong:
+        return f"types {wrong}"
     bad = [(a, b) for a, b in zip(got[1], want[1]) if a != b and repr(a) != repr(b)]
     bad = [(a, b) for a, b in bad if not all(x == y for x, y in zip(a, b))]
     return f"{len(bad)} rows differ, first {bad[0]}" if bad else ""
@@ -69,7 +79,7 @@ def session(cores: int = 8):
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("auctionlake-check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
 
