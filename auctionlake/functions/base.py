@@ -37,8 +37,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, or null."""
-    return empty_to_null(F.regexp_extract(text, pattern, group))
+    """The group of the first match, or null. Texts without a match, the usual case, are scanned once."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
 def first_found(text: Column, patterns) -> Column:
@@ -63,3 +63,8 @@ def try_double(c: Column) -> Column:
 def rest(array: Column) -> Column:
     """All elements but the first."""
     return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auctionlake.functions import patterns as P
-from auctionlake.functions.base import col, found, strip, truthy
+from auctionlake.functions.base import bind, col, found, strip, truthy
 
 
 def ical_unescape(value: str | Column) -> Column:
@@ -36,13 +36,16 @@ def ical_custom(block: str | Column, name: str) -> Column:
     c = col(block)
     head = rf'(?m)^X-TRUMBA-CUSTOMFIELD;NAME="{re.escape(name)}";ID=(\d+);[^:\r\n]*?:(.*)$'
     line = r"(?m)^X-TRUMBA-CUSTOMFIELD;FIELDVALUE;ID=(\d+)\s*->\s*(.*)$"
-    value = strip(F.regexp_extract(c, head, 2))
     ids = F.regexp_extract_all(c, F.lit(line), F.lit(1))
     values = F.regexp_extract_all(c, F.lit(line), F.lit(2))
     at = F.array_position(ids, F.regexp_extract(c, head, 1)).cast("int")
     continued = F.when(at > 0, strip(F.try_element_at(values, at)))
-    unset = (value == "") | F.lower(value).isin("value", "n/a")
-    return F.when(c.rlike(head), ical_unescape(F.when(unset, continued).otherwise(value)))
+
+    def given(value: Column) -> Column:
+        unset = (value == "") | F.lower(value).isin("value", "n/a")
+        return ical_unescape(F.when(unset, continued).otherwise(value))
+
+    return F.when(c.rlike(head), bind(strip(F.regexp_extract(c, head, 2)), given))
 
 
 def pin_from_link(link: str | Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auctionlake import dims
 from auctionlake.functions import patterns as P
-from auctionlake.functions.base import blank_to_null, col, empty_to_null, strip, truthy
+from auctionlake.functions.base import bind, blank_to_null, col, empty_to_null, strip, truthy
 
 
 def parcel_variants(parcel: str | Column) -> Column:
@@ -27,12 +27,17 @@ def normalise_street(address: str | Column) -> Column:
     """Street words to search by: no house number, upper case, short suffix, at most the last three words."""
     bare = F.upper(F.regexp_replace(strip(col(address)), r"(?U)^\s*\d+\s+", ""))
     words = F.filter(F.split(bare, r"(?U)\s+"), truthy)
-    last = F.try_element_at(words, F.lit(-1))
-    short = F.coalesce(dims.lookup(dims.STREET_ABBREVIATIONS, last), last)
-    words = F.concat(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.array(short))
-    tail = F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)), " ")
-    pair = F.concat_ws(" ", F.substring(words[0], 1, 3), F.try_element_at(words, F.lit(2)))
-    return F.when(last.isNotNull(), F.when(F.size(words) == 2, pair).otherwise(tail))
+
+    def shorten(ws: Column) -> Column:
+        last = F.try_element_at(ws, F.lit(-1))
+        short = F.coalesce(dims.lookup(dims.STREET_ABBREVIATIONS, last), last)
+        return F.when(F.size(ws) > 0, F.concat(F.slice(ws, F.lit(1), F.size(ws) - 1), F.array(short)))
+
+    def searched(ws: Column) -> Column:
+        tail = F.array_join(F.slice(ws, F.greatest(F.size(ws) - 2, F.lit(1)), F.lit(3)), " ")
+        return F.when(F.size(ws) == 2, F.concat_ws(" ", F.substring(ws[0], 1, 3), ws[1])).otherwise(tail)
+
+    return bind(bind(words, shorten), searched)
 
 
 def address_words(address: str | Column) -> Column:

@@ -37,10 +37,11 @@ def pin(text: str | Column) -> Column:
 def deed_plat(text: str | Column) -> Column:
     """Recording reference as one tagged string, such as ``Deed:Bk12Pg34`` or ``Plat:File5Pg6``."""
     text = col(text)
-    tagged = [
-        F.concat(F.lit(tag), found(text, p, 1), F.lit(sep), found(text, p, 2)) for p, tag, sep in P.DEED_PLAT
-    ]
-    return F.coalesce(*tagged)
+    tagged = None
+    for p, tag, sep in P.DEED_PLAT:
+        value = F.concat(F.lit(tag), F.regexp_extract(text, p, 1), F.lit(sep), F.regexp_extract(text, p, 2))
+        tagged = F.when(text.rlike(p), value) if tagged is None else tagged.when(text.rlike(p), value)
+    return tagged
 
 
 def deed_only(reference: str | Column) -> Column:
@@ -139,16 +140,14 @@ def notice_class(text: str | Column) -> Column:
 
 def extract_notice_fields(df, text: str = "text", slug: str | None = None):
     """All facts of a notice as columns, in one pass over the table."""
-    ref = deed_plat(text)
     return df.withColumns(
         {
             "county": notice_county(text, slug),
             "court_case": court_case(text),
             "extracted_pin": pin(text),
-            "extracted_deed_plat": ref,
-            "deed_book": deed_only(ref),
+            "extracted_deed_plat": deed_plat(text),
             "notice_address": empty_to_null(notice_address(text)),
             "notice_auction_date": auction_date(text),
             "notice_acres": acreage(text),
         }
-    )
+    ).withColumn("deed_book", deed_only("extracted_deed_plat"))

@@ -19,6 +19,7 @@ from auctionlake.functions.parcel import (
 )
 from auctionlake.operators.filters import needs_address_enrichment, needs_enrichment
 from auctionlake.schema import PROPERTY_COLUMNS
+from auctionlake.shared import stage
 
 PARCEL_FIELDS = (
     "parno", "cntyname", "acres", "owner_name", "land_use", "latitude", "longitude", "is_clean", "feature_id",
@@ -152,13 +153,12 @@ def _street_patterns(addresses: DataFrame) -> DataFrame:
     """(fips, address, prio, head, tail): text to contain, then text to follow later ('' for none)."""
     street = normalise_street("address")
     df = addresses.withColumns({"fips": dims.address_fips(F.col("county")), "_street": street})
-    df = df.where(F.col("fips").isNotNull() & F.col("_street").isNotNull())
     words = F.split("_street", " ")
     ways = F.array(
         F.struct(F.lit(1).alias("prio"), F.col("_street").alias("head"), F.lit("").alias("tail")),
         F.struct(F.lit(2).alias("prio"), words[0].alias("head"), F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")).alias("tail")),
     )
-    return df.select("fips", "address", F.inline(ways))
+    return df.where("fips is not null").select("fips", "address", F.inline(ways)).where("head is not null")
 
 
 def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
@@ -170,6 +170,7 @@ def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     A pattern can only be contained in an address that has all its three-letter grams, so each
     distinct pattern is sent to the addresses of its rarest gram alone and compared there. Shorter
     patterns use grams of their own length, kept for the (at most 26) counties that have such patterns.
+    Distinct addresses and patterns are staged, as every step reads them.
     """
     sites = (
         parcels.where(F.col("cntyfips").isNotNull() & F.col("site_address").isNotNull())
@@ -177,7 +178,7 @@ def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
         .agg(F.min_by(_parcel(), "feature_id").alias("parcel"))
     )
     wanted = listings.where(truthy(F.col("address")) & truthy(F.col("county"))).select("county", "address").distinct()
-    ways = _street_patterns(wanted).distinct()
+    sites, ways = stage(sites, "sites"), stage(_street_patterns(wanted).distinct(), "patterns")
     patterns = ways.select("fips", "head", "tail").distinct()
 
     longest = F.when(F.length("tail") > F.length("head"), F.col("tail")).otherwise(F.col("head"))
@@ -242,7 +243,7 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
 
     Addresses match by equal number lists, an equi-join on the list, or by shared words. Two word sets
     sharing enough words have one in common among the rarest few of each (all but the needed number
-    less one), so only those words are joined on and the pairs verified.
+    less one), so only those words are joined on and the pairs verified. Distinct addresses are staged.
     """
     county = dims.tn_county_id(F.col("county"))
     sites = parcels.where(filled(F.col("ADDRESS")) & F.col("COUNTY_ID").isNotNull()).select(
@@ -258,6 +259,7 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
         .withColumn("_t", address_words("addr"))
         .withColumns({"nums": F.array_join(number_list(F.col("_t")), " "), "words": word_set(F.col("_t"))}).drop("_t")
     )
+    firsts, wanted = stage(firsts, "sites"), stage(wanted, "addresses")
     by_numbers = wanted.join(
         firsts.groupBy("cid", "nums").agg(F.min("ord").alias("ord")), ["cid", "nums"]
     ).select("cid", "addr", "ord")

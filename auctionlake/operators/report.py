@@ -105,17 +105,17 @@ def same_case(df: DataFrame, listing_id: int) -> DataFrame:
 def navigation(df: DataFrame, category: str | None = None) -> DataFrame:
     """(id, previous_id, previous_address, next_id, next_address) of every active listing in dashboard order.
 
-    The order is cut by month, day, first sighting and id, so no task orders the whole table.
+    The order is cut by day, first sighting and id, so no task orders the whole table: a table holds
+    few thousand days, and ids are split in blocks of two million.
     """
     rows = with_category(df.where(ACTIVE))
     if category in ("notice", "listing"):
         rows = rows.where(F.col("category") == category)
     day = F.coalesce(dashboard_day(), F.lit(""))
     levels = [
-        ("_month", F.substring(day, 1, 7), False),
         ("_day", day, False),
         ("_seen", F.coalesce(F.col("first_seen").cast("string"), F.lit("")), False),
-        *long_levels("id", ascending=False),
+        *long_levels("id", ascending=False, bits=42),
     ]
     slim = rows.select("id", "address", "initial_auction_date", "last_seen", "first_seen")
     out = neighbours(slim, [], levels, F.struct("id", "address"))

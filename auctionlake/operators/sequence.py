@@ -24,14 +24,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def long_levels(name: str, ascending: bool = True) -> list[tuple[str, Column, bool]]:
-    """Levels of a non-negative unique long, each of at most two million children."""
+def long_levels(name: str, ascending: bool = True, bits: int = 63) -> list[tuple[str, Column, bool]]:
+    """Levels of a non-negative unique long below 2^bits, each of at most two million children."""
     c = F.col(name)
-    return [
-        (f"_{name}_hi", F.shiftright(c, 2 * BITS), ascending),
-        (f"_{name}_mid", F.shiftright(c, BITS), ascending),
-        (f"_{name}_lo", c, ascending),
-    ]
+    levels = [(f"_{name}_lo", c, ascending), (f"_{name}_mid", F.shiftright(c, BITS), ascending)]
+    if bits > 2 * BITS:
+        levels.append((f"_{name}_hi", F.shiftright(c, 2 * BITS), ascending))
+    return levels[::-1]
 
 
 def _link(df: DataFrame, part: list[str], levels: list[tuple[str, bool]], first: str, last: str) -> DataFrame:

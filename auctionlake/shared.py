@@ -33,3 +33,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
+    """Rows over all cores when the input is smaller than one good split per core, else as read.
+
+    Small files are read as one split however many cores there are; large inputs split by themselves and
+    are not shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, df.columns[0]) if size < cores * bytes_per_core else df

@@ -46,11 +46,16 @@ def _key(*parts: Column) -> Column:
 def normalise_listing_json(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Listing-API rows. The part after the last comma of the address is the city."""
     df = exclude_commercial(df.where(filled(F.col("county"))), "propertytype")
-    parts = F.filter(F.transform(F.split(strip_html("address"), r",\s*"), strip), truthy)
-    whole = empty_to_null(strip_html("address"))
+    df = df.withColumns(
+        {
+            "_address": strip_html("address"), "_sale": strip_html(_text("saledatetime")),
+            "_closes": strip_html(_text("closedate")), "_parcel": strip_html(_text("parcel")), "_bid": _text("currentbid"),
+        }
+    ).withColumn("_parts", F.filter(F.transform(F.split("_address", r",\s*"), strip), truthy))
+    parts, whole = F.col("_parts"), empty_to_null(F.col("_address"))
     split = F.size(parts) >= 2
-    sale, closes = strip_html(_text("saledatetime")), strip_html(_text("closedate"))
-    bid, case, parcel = _text("currentbid"), _text("courtfile"), strip_html(_text("parcel"))
+    sale, closes, bid, parcel = (F.col(c) for c in ("_sale", "_closes", "_bid", "_parcel"))
+    case = _text("courtfile")
     opening = F.coalesce(F.col("openingbid"), F.lit(""))
     price = cents(F.coalesce(empty_to_null(F.col("openingbid")), empty_to_null(F.col("currentbid"))))
     columns = {
@@ -90,13 +95,16 @@ def _unavailable(c: Column) -> Column:
 def normalise_sales_grid(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sales-grid rows whose county cell reads ``X, NC``."""
 
+    raw = ("case_no", "sp_no", "county_raw", "sale_date_raw", "address_raw", "csz_raw", "deed_raw", "bid_raw")
+    df = df.withColumns({f"_{c}": strip_html(c, collapse=True) for c in raw})
+    df = df.withColumns({"_place": city_state_zip("_csz_raw"), "_bid": last_bid("_bid_raw")})
+
     def clean(name: str) -> Column:
-        return strip_html(name, collapse=True)
+        return F.col(f"_{name}")
 
     case, sp, deed, sale = clean("case_no"), clean("sp_no"), clean("deed_raw"), clean("sale_date_raw")
     county = F.lower(strip(F.regexp_extract(clean("county_raw"), r"^(.+?),\s*NC$", 1)))
-    place = city_state_zip(clean("csz_raw"))
-    bid = last_bid(clean("bid_raw"))
+    place, bid = F.col("_place"), F.col("_bid")
     deed_known = F.when(truthy(deed) & ~_unavailable(deed), deed)
     columns = {
         "source": F.lit("hutchens_law"),
@@ -130,7 +138,8 @@ def normalise_tax_grid(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Rows without a parcel get no listing id, so they are told apart by address.
     """
-    county = office_county("tax_office")
+    df = df.withColumn("_county", office_county("tax_office"))
+    county = F.col("_county")
     parcel, status, opening = F.col("parcel"), F.col("status"), F.col("opening_bid")
     address = empty_to_null(F.col("address_raw"))
     has_parcel = truthy(parcel)
