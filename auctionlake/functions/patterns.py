@@ -25,6 +25,7 @@ PIN = (
     r"(?iU)\bPID\s*[:#]?\s*(\d{3,}-[\d–\-?]+)",
     r"(?iU)\bREID\s*[:#]?\s*(\d{4,})",
 )
+PIN_WORDS = r"(?iu)parcel|PIN|PID|REID"
 PIN_SEPARATORS = r"(?U)[\s–?]+"
 
 # (pattern, prefix before the first number, text between the numbers)

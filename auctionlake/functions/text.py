@@ -31,7 +31,9 @@ def normalise_pin(raw: str | Column) -> Column:
 
 
 def pin(text: str | Column) -> Column:
-    return normalise_pin(first_found(col(text), P.PIN))
+    """Tax parcel id. Texts without any of the words that may lead to one are scanned once."""
+    text = col(text)
+    return F.when(text.rlike(P.PIN_WORDS), normalise_pin(first_found(text, P.PIN)))
 
 
 def deed_plat(text: str | Column) -> Column:

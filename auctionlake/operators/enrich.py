@@ -268,22 +268,21 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
         firsts.select("cid", F.explode("words").alias("word")).groupBy("cid", "word").agg(F.count(F.lit(1)).alias("df"))
     )
 
-    def rarest(df: DataFrame, ident: str) -> DataFrame:
-        """The words of each set that a match must include one of."""
-        sets = df.where(F.size("words") >= 2).select("cid", ident, "words").withColumn("need", _needed_words(F.col("words")))
-        each = sets.select("cid", ident, "need", F.explode("words").alias("word")).join(frequency, ["cid", "word"], "left")
-        ranked = each.groupBy("cid", ident).agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("ws"),
-            F.max("need").alias("need"),
+    def rarest(df: DataFrame, *kept: str) -> DataFrame:
+        """The sets of two words and more, one row per word that a match must include one of."""
+        sets = df.where(F.size("words") >= 2).select("cid", "words", *kept)
+        each = sets.select("*", F.explode("words").alias("word")).join(frequency, ["cid", "word"], "left")
+        ranked = each.groupBy("cid", "words", *kept).agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("ws")
         )
-        kept = F.slice("ws", F.lit(1), F.greatest(F.size("ws") - F.col("need") + 1, F.lit(1)))
-        return ranked.select("cid", ident, F.explode(kept).alias("w")).select("cid", ident, F.col("w.word").alias("word"))
+        few = F.slice("ws", F.lit(1), F.greatest(F.size("ws") - _needed_words(F.col("words")) + 1, F.lit(1)))
+        return ranked.select("cid", "words", *kept, F.explode(few).alias("w")).withColumn("word", F.col("w.word")).drop("w")
 
-    pairs = rarest(wanted, "addr").join(rarest(firsts, "site"), ["cid", "word"]).select("cid", "addr", "site").distinct()
+    asked = rarest(wanted, "addr").withColumnRenamed("words", "asked")
     by_words = (
-        pairs.join(wanted.select("cid", "addr", F.col("words").alias("aw")), ["cid", "addr"])
-        .join(firsts.select("cid", "site", F.col("words").alias("sw"), "ord"), ["cid", "site"])
-        .where(words_overlap(F.col("aw"), F.col("sw"))).select("cid", "addr", "ord")
+        asked.join(rarest(firsts, "ord"), ["cid", "word"])
+        .where(words_overlap(F.col("asked"), F.col("words")))
+        .groupBy("cid", "addr").agg(F.min("ord").alias("ord"))
     )
     best = by_numbers.unionByName(by_words).groupBy("cid", "addr").agg(F.min("ord").alias("_ord"))
     if min_score > 15:
