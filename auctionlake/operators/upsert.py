@@ -137,13 +137,13 @@ def _resolve(states: DataFrame, current: DataFrame) -> DataFrame:
     """Adds ``match_id`` (existing property) or ``created_ord`` (sighting that creates the property), and
     ``pid``, one number for either."""
     keyed = truthy(F.col("source")) & truthy(F.col("source_listing_id"))
-    by_key = current.where(keyed).groupBy("source", "source_listing_id").agg(F.min("id").alias("match_id"))
-    by_hash = current.where("dedup_hash is not null").groupBy("dedup_hash").agg(F.min("id").alias("match_id"))
-    known = by_key.select(
-        F.lit("key").alias("_kind"), F.col("source").alias("_a"), F.col("source_listing_id").alias("_b"), "match_id"
-    ).unionByName(
-        by_hash.select(F.lit("hash").alias("_kind"), F.col("dedup_hash").alias("_a"), F.lit("").alias("_b"), "match_id")
+    ways = F.array(
+        F.struct(F.when(keyed, "key").alias("_kind"), F.col("source").alias("_a"), F.col("source_listing_id").alias("_b")),
+        F.struct(F.lit("hash").alias("_kind"), F.col("dedup_hash").alias("_a"), F.lit("").alias("_b")),
     )
+    # The table meets the staged routes first, so a small batch is broadcast and the table is not shuffled.
+    stored = current.select("id", F.inline(ways)).where("_kind is not null and _a is not null")
+    known = stored.join(states.select(*ROUTE), list(ROUTE)).groupBy(*ROUTE).agg(F.min("id").alias("match_id"))
     states = states.join(known, list(ROUTE), "left")
     # A hash route may meet a property that a keyed sighting of the same batch created before it.
     made = (
@@ -159,7 +159,7 @@ def _resolve(states: DataFrame, current: DataFrame) -> DataFrame:
 
 def route_matches(batch: DataFrame, current: DataFrame, today: date, order: str = "ord") -> DataFrame:
     """Natural keys and address hashes of a batch: sightings, and the property each one meets or creates."""
-    states = _resolve(_fold_routes(routed(batch, order), today), with_columns_of(current, PROPERTY_COLUMNS))
+    states = _resolve(stage(_fold_routes(routed(batch, order), today), "routes"), with_columns_of(current, PROPERTY_COLUMNS))
     return states.select(
         F.col("_kind").alias("route"), F.col("base.v.source").alias("source"), F.col("_b").alias("source_listing_id"),
         F.col("base.v.address").alias("address"), F.col("n").alias("sightings"), "match_id", "created_ord",
@@ -181,14 +181,15 @@ def _spellings(rows: DataFrame, states: DataFrame, folds: DataFrame, c: str) ->
 def fold_batch(batch: DataFrame, current: DataFrame, today: date, order: str = "ord") -> DataFrame:
     """One row per touched property: match_id or created_ord, and the folded state.
 
-    The states of the routes, and then of the properties, are staged as tables: all results of an upsert
+    The folds of the routes, and then of the properties, are staged as tables: all results of an upsert
     read them. Only date texts seen with blanks around them need a second look at the batch; without
     padding equal values have one spelling and the last one serves.
     """
     rows = routed(batch, order)
-    states = stage(_resolve(_fold_routes(rows, today), current), "routes")
+    routes = stage(_fold_routes(rows, today), "routes")
+    padded = routes.agg(*[F.bool_or(f"pad_{c}").alias(c) for c in LAST_SPELLED]).first()
+    states = _resolve(routes, current)
     folds = _merge_folds(states)
-    padded = states.agg(*[F.bool_or(f"pad_{c}").alias(c) for c in LAST_SPELLED]).first()
     out = folds
     for c in LAST_SPELLED:
         last = F.col(f"ls_{c}.v")

@@ -18,7 +18,7 @@ def plan(spark, name):
 @pytest.mark.parametrize("name", LAZY)
 def test_no_products_or_python(spark, name):
     text = plan(spark, name)
-    assert "CartesianProduct" not in text
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
     assert "PythonUDF" not in text and "ArrowEval" not in text and "BatchEvalPython" not in text
 
 
