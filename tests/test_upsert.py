@@ -116,7 +116,7 @@ def check(spark, current, batch):
     return got
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_random_batches(spark, seed):
     rng = random.Random(seed)
     universe = rng.choice([2, 5, 12])
