@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, tokenfiles
+from . import minhash, packing, sharding, tokenfiles
 from .common import table
 from .subwords import vocabulary
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(sharding.keyed(table(spark, sf_dir, "documents")), 40)
     return rows.select(
@@ -29,6 +33,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_minhash": (op2_minhash, None),
     "op3_sharding": (op3_sharding, None),
     "op5_token_files": (op5_token_files, None),
     "op9_packing": (op9_packing, None),
