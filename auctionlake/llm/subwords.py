@@ -8,6 +8,7 @@ table of the Python worker. Files of another make are encoded text by text.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,16 +26,18 @@ def byte_letters() -> dict[int, str]:
 class Subwords:
     """Ids of texts as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) integers in bytes.
 
-    ``kept`` bounds the words and the word parts held; a full table starts again from empty.
+    ``kept`` bounds the words and the word parts held: a full table of words is set aside, and the next one takes over what
+    is still used; a full table of parts starts again from empty.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = kept
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as file:
             made = json.load(file)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.marks = [t["content"].lower().encode() for t in made.get("added_tokens") or []]
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = (
@@ -48,6 +51,7 @@ class Subwords:
             self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def whole(self, text: bytes) -> bytes:
@@ -58,7 +62,7 @@ class Subwords:
         got = self.parts.get(piece)
         if got is None:
             shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = np.asarray([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
+            got = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
             if len(self.parts) >= self.kept:
                 self.parts.clear()
             self.parts[piece] = got
@@ -72,16 +76,14 @@ class Subwords:
         return b"".join(map(self.part, self.pieces(text)))
 
     def of_words(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            missing = {w for w in words if w not in self.words}
-            if len(self.words) + len(missing) > self.kept:
-                self.words = {}
+        missing = set(words).difference(self.words)
+        if missing:
+            if len(self.words) + len(missing) > self.kept:  # words still in use come back from the older table
+                self.older, self.words = self.words, {}
                 missing = set(words)
             for w in missing:
-                self.words[w] = self.word(w)
-            return b"".join(map(self.words.__getitem__, words))
+                self.words[w] = self.older.get(w) or self.word(w)
+        return b"".join(map(self.words.__getitem__, words))
 
     def marked(self, folded: bytes) -> bool:
         """Whether a special token's own string stands in the text; such texts are encoded as a whole."""
