@@ -122,62 +122,115 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int, least: float)
     return sized.where(estimate("sig_a", "sig_b") >= least).select("a", "b")
 
 
+def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cls, found): the whole shingle sets of the classes wanted, computed again from one member's text."""
+    ids = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("doc_id").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x.as_py(), width) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cls", "found"])
+
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "cls bigint, found binary")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
     """Those pairs whose full shingle sets are similar enough.
 
-    Texts of the classes named are fetched by one member's id, their sets computed again, and sent to groups of one class and up
-    to about ``block`` partners: a class with very many partners is spread over many tasks.
+    Sets are sent to groups of one class and up to about ``block`` partners: a class with very many partners is spread over
+    many tasks.
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
     placed = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / block)).alias("salt"))
     members = placed.select("a", "salt", F.col("b").alias("cls")).union(placed.select("a", "salt", F.col("a").alias("cls")).distinct())
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("doc_id").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cls", "found"])
-
-    full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "cls bigint, found binary")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = {c: np.frombuffer(x, np.uint64) for c, x in zip(group["cls"], group["found"], strict=True)}
-        hub, out = own.pop(key[0]), []
-        for c, x in own.items():
-            at = np.searchsorted(hub, x)
-            both = int((hub[np.minimum(at, len(hub) - 1)] == x).sum())
-            if 100 * both >= percent * (len(hub) + len(x) - both):
-                out.append((key[0], c))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        hub = own.pop(key[0])
+        return pd.DataFrame([(key[0], c) for c, x in own.items() if linked(hub, x, percent)], columns=["a", "b"]).astype("int64")
 
+    full = full_sets(classes, members, docs, width)
     return members.join(full, "cls").groupBy("a", "salt").applyInPandas(compare, "a bigint, b bigint")
 
 
-def crossing(bands: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, least: float, block: int = 1024) -> DataFrame:
-    """Promising pairs of classes that share a bucket but not a component yet.
+def candidates(group: pd.DataFrame, percent: int, least: float) -> Iterator[tuple[int, int]]:
+    """Row numbers of promising pairs of a task's buckets: of different components, in the first bucket that both share."""
+    key, block, n, label = (group[c].to_numpy() for c in ("key", "own", "n", "label"))
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+    bands = np.stack(group["bands"].to_list())
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        left, right = rows[block[rows] == low], rows[block[rows] == high]
+        for i in left:
+            js = right[label[right] != label[i]]
+            js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
+            if low == high:
+                js = js[js > i]
+            js = js[alike(sig[js], sig[i]) >= least] if len(js) else js
+            if len(js):
+                same = bands[js] == bands[i]
+                js = js[bands[i][same.argmax(axis=1)] == key[i]]
+            for j in js:
+                yield int(i), int(j)
+
+
+def crossing(
+    bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, least: float, block: int = 512,
+) -> DataFrame:
+    """Links between classes that share a bucket but not a component yet.
 
     Buckets inside one component, however large, are left out. The others are cut into blocks, and each two blocks of a bucket
-    meet in a task of their own, where signatures are compared as matrices; only promising pairs leave it.
+    meet in a task of their own (small buckets share tasks). There signatures are compared as matrices; what leaves are the
+    classes of promising pairs, not the pairs. Where their full sets meet again in the same way, the pairs are checked exactly,
+    and only links leave.
     """
     label = F.coalesce("component", "cls")
     marked = bands.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", label.alias("label"))
     mixed = marked.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     cut = marked.join(mixed.select("key", F.ceil(F.col("many") / block).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
-    dealt = cut.select("key", "cls", "label", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "cls", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = dealt.join(classes.select("cls", "n", "sig"), "cls")
-
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own, n, label, cls = (group[c].to_numpy() for c in ("own", "n", "label", "cls"))
-        sig, out = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1), []
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        for i in left:
-            js = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
-            js = js[alike(sig[js], sig[i]) >= least] if len(js) else js
-            out += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in js if key[1] != key[2] or i < j]
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = staged(dealt.select(
+        "key", "cls", "label", "own", "blocks", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    ), "dealt")
+    tasks = max(1, dealt.count() // 20_000)
+    where = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(tasks)))
+    traits = classes.select("cls", "n", "sig", "bands")
+    met = dealt.withColumn("task", where).join(traits, "cls")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted({k for pair in candidates(group, percent, least) for k in pair})
+        return group.iloc[rows][["key", "cls", "label", "own", "low", "high", "task"]]
+
+    shape = "key bigint, cls bigint, label bigint, own bigint, low bigint, high bigint, task bigint"
+    members = staged(met.groupBy("task", "low", "high").applyInPandas(meet, shape), "members")
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        found, cls, label = [np.frombuffer(x, np.uint64) for x in group["found"]], group["cls"].to_numpy(), group["label"].to_numpy()
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        out = []
+        for i, j in candidates(group, percent, least):
+            one, two = root(label[i]), root(label[j])
+            if one != two and linked(found[i], found[j], percent):
+                joined[one] = two
+                out.append((cls[i], cls[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("key", "low", "high").applyInPandas(meet, "a bigint, b bigint").distinct()
+    full = full_sets(classes, members, docs, width)
+    parts = members.join(traits, "cls").join(full, "cls")
+    return parts.groupBy("task", "low", "high").applyInPandas(check, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -210,8 +263,7 @@ def near_duplicates(
     stars = staged(buckets.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     links = staged(verified(promising(stars, classes, percent, least), classes, source, width, percent), "links")
     labels = staged(components(links), "labels")
-    rest = crossing(buckets.select("key", "cls"), labels, classes, percent, least).join(stars, ["a", "b"], "left_anti")
-    more = staged(verified(staged(rest, "crossing"), classes, source, width, percent), "links")
+    more = staged(crossing(buckets.select("key", "cls"), labels, classes, source, width, percent, least), "links")
     labels = components(links.union(more))
     named = classes.select(F.col("cls"), "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
