@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, sharding, tokenfiles
+from . import decontaminate, langid, minhash, packing, sharding, tokenfiles
 from .common import table
 from .subwords import vocabulary
 
@@ -32,6 +32,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=2))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
@@ -41,6 +46,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_minhash": (op2_minhash, None),
     "op3_sharding": (op3_sharding, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_language": (op6_language, None),
     "op9_packing": (op9_packing, None),
     "op10_decontamination": (op10_decontamination, decontaminate.SQL),
 }
