@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, sharding, tokenfiles
+from . import decontaminate, langid, licenses, minhash, packing, sharding, tokenfiles, urls
 from .common import table
 from .subwords import vocabulary
 
@@ -23,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tokenfiles.round_trip(spark, table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -37,6 +41,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
@@ -45,8 +53,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_minhash": (op2_minhash, None),
     "op3_sharding": (op3_sharding, None),
+    "op4_urls": (op4_urls, None),
     "op5_token_files": (op5_token_files, None),
     "op6_language": (op6_language, None),
+    "op8_licenses": (op8_licenses, licenses.SQL),
     "op9_packing": (op9_packing, None),
     "op10_decontamination": (op10_decontamination, decontaminate.SQL),
 }
