@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, packing, sharding, tokenfiles, urls
+from . import decontaminate, embeddings, langid, licenses, minhash, packing, sharding, tokenfiles, urls
 from .common import table
 from .subwords import vocabulary
 
@@ -41,6 +41,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_urls": (op4_urls, None),
     "op5_token_files": (op5_token_files, None),
     "op6_language": (op6_language, None),
+    "op7_embeddings": (op7_embeddings, None),
     "op8_licenses": (op8_licenses, licenses.SQL),
     "op9_packing": (op9_packing, None),
     "op10_decontamination": (op10_decontamination, decontaminate.SQL),
