@@ -64,12 +64,11 @@ def within(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     Of four blocks one differs in radius // 4 bits or fewer, so each item block is listed with all values that near, and a window
     is looked up by its own four values.
     """
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= radius // BLOCKS)
-    near = items.sparkSession.range(1).select(F.explode(masks).alias("mask")).select(F.col("mask").cast("bigint"))
+    masks = ",".join(str(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius // BLOCKS)
     listed = items.select("item_id", "size", F.col("print").alias("item_print"), F.inline(block_values(F.col("print"))))
-    listed = listed.join(near.hint("broadcast")).withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
+    listed = listed.withColumn("mask", F.explode(F.split(F.lit(masks), ","))).withColumn("value", F.col("value").bitwiseXOR(F.col("mask").cast("bigint"))).drop("mask")
     asked = windows.select("uid", "start", "size", "print", F.inline(block_values(F.col("print"))))
-    met = asked.join(listed, ["size", "block", "value"])
+    met = asked.join(listed.hint("merge"), ["size", "block", "value"])
     return met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select("uid", "start", "size", "item_id").distinct()
 
 
