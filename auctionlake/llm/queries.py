@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licenses, minhash, packing, sharding, tokenfiles, urls
+from . import decontaminate, embeddings, langid, licenses, minhash, packing, scoring, sharding, tokenfiles, urls
 from .common import table
 from .subwords import vocabulary
 
 
+def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_scoring": (op1_scoring, None),
     "op2_minhash": (op2_minhash, None),
     "op3_sharding": (op3_sharding, None),
     "op4_urls": (op4_urls, None),
