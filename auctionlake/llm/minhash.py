@@ -206,9 +206,9 @@ def crossing(
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         rows = sorted({k for pair in candidates(group, percent, least) for k in pair})
-        return group.iloc[rows][["key", "cls", "label", "own", "low", "high", "task"]]
+        return group.iloc[rows][["key", "cls", "label", "own", "low", "high", "task", "n", "sig", "bands"]]
 
-    shape = "key bigint, cls bigint, label bigint, own bigint, low bigint, high bigint, task bigint"
+    shape = "key bigint, cls bigint, label bigint, own bigint, low bigint, high bigint, task bigint, n bigint, sig binary, bands array<bigint>"
     members = staged(met.groupBy("task", "low", "high").applyInPandas(meet, shape), "members")
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
@@ -229,8 +229,7 @@ def crossing(
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     full = full_sets(classes, members, docs, width)
-    parts = members.join(traits, "cls").join(full, "cls")
-    return parts.groupBy("task", "low", "high").applyInPandas(check, "a bigint, b bigint")
+    return members.join(full, "cls").groupBy("task", "low", "high").applyInPandas(check, "a bigint, b bigint")
 
 
 def near_duplicates(
