@@ -9,14 +9,14 @@ from auctionlake.operators.report import active
 from auctionlake.schema import PROPERTY_COLUMNS, RUN_COLUMNS, with_columns_of
 
 
-def export_rows(df: DataFrame, limit: int | None = 10000) -> DataFrame:
-    """Active listings as handed out: price in dollars, no internal hash."""
+def export_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """All active listings (or the first ``limit``) as handed out: price in dollars, no internal hash."""
     price = F.when(F.col("price_cents") != 0, F.round(F.col("price_cents") / 100, 2))
     return active(df, limit).drop("dedup_hash").withColumn("price", F.coalesce(price, F.lit(0.0)))
 
 
-def export_json(df: DataFrame, path: str, limit: int | None = 10000) -> None:
-    """JSON lines. With ``limit=None`` all rows are exported, sorted and split over many files."""
+def export_json(df: DataFrame, path: str, limit: int | None = None) -> None:
+    """JSON lines of all rows, sorted and split over many files."""
     export_rows(df, limit).write.mode("overwrite").json(path)
 
 
@@ -38,4 +38,4 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """One row per run, the finished entry before the started one."""
     log = with_columns_of(spark.read.parquet(path), RUN_COLUMNS)
     row = F.struct(*RUN_COLUMNS)
-    return log.groupBy("id").agg(F.max_by(row, F.coalesce("finished_at", "started_at")).alias("r")).select("r.*")
+    return log.groupBy("id").agg(F.max_by(row, F.struct(F.col("finished_at").isNotNull(), F.coalesce("finished_at", "started_at"))).alias("r")).select("r.*")

@@ -1,37 +1,62 @@
-"""Property table as a log of changed rows.
+"""Property table as whole snapshots, each in a folder of its own; the newest complete one is the table.
 
-Each batch writes the rows it created or touched under its own version; the table is the
-newest row of every id. A batch thus writes in proportion to itself, not to the table, and
-a batch repeated after a failure replaces its own version only. ``compact`` folds the log into one
-full version from time to time.
+A folder is named after its version, which the store counts up, and after the writer and its batch. Spark's success
+marker makes a snapshot complete, so an interrupted one is never read; a batch that runs again finds its own snapshot and
+leaves it. One writer at a time: two that meet in a version raise an error.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 from auctionlake.schema import PROPERTY_COLUMNS, struct, with_columns_of
 
+NAME = re.compile(r"v(\d+)-(.+)-(\d+)")
 
-def write_version(changes: DataFrame, root: str, version: int) -> None:
-    with_columns_of(changes, PROPERTY_COLUMNS).write.mode("overwrite").parquet(f"{root}/v={version}")
 
+def _folder(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
-def read_table(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """The table as of the newest version, or as it was before a version; empty when nothing is stored."""
-    try:
-        log = spark.read.schema(struct({**PROPERTY_COLUMNS, "v": LongType()})).parquet(root)
-    except AnalysisException:
-        return spark.createDataFrame([], struct(PROPERTY_COLUMNS))
-    if before is not None:
-        log = log.where(F.col("v") < before)
-    newest = Window.partitionBy("id").orderBy(F.col("v").desc())
-    return log.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select(*PROPERTY_COLUMNS)
+
+def snapshots(spark: SparkSession, root: str) -> list[tuple[int, str, int]]:
+    """(version, writer, batch) of all complete snapshots, oldest first; none only where the root does not exist."""
+    store, target = _folder(spark, root)
+    if not store.exists(target):
+        return []
+    names = [(NAME.fullmatch(s.getPath().getName()), s.getPath()) for s in store.listStatus(target)]
+    done = [m for m, path in names if m and store.exists(_folder(spark, f"{path}/_SUCCESS")[1])]
+    return sorted((int(m[1]), m[2], int(m[3])) for m in done)
 
 
-def compact(spark: SparkSession, root: str, version: int) -> None:
-    """A full version; folders of lower versions may be removed once no reader uses them."""
-    write_version(read_table(spark, root, version), root, version)
+def _path(root: str, version: int, writer: str, batch: int) -> str:
+    return f"{root}/v{version:012d}-{writer}-{batch}"
+
+
+def read_table(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot; empty only when nothing was ever stored."""
+    known = snapshots(spark, root)
+    if not known:
+        return spark.createDataFrame([], struct(PROPERTY_COLUMNS))
+    return with_columns_of(spark.read.parquet(_path(root, *known[-1])), PROPERTY_COLUMNS)
+
+
+def stored(spark: SparkSession, root: str, writer: str, batch: int) -> bool:
+    """Whether this batch of this writer is in the table."""
+    return any(w == writer and b == batch for _, w, b in snapshots(spark, root))
+
+
+def write_table(table: DataFrame, root: str, writer: str, batch: int, keep: int = 3) -> None:
+    """Store a snapshot after the newest one and remove all but the last ``keep``."""
+    spark = table.sparkSession
+    known = snapshots(spark, root)
+    version = known[-1][0] + 1 if known else 0
+    with_columns_of(table, PROPERTY_COLUMNS).write.mode("overwrite").parquet(_path(root, version, writer, batch))
+    known = snapshots(spark, root)
+    if sum(v == version for v, _, _ in known) > 1:
+        raise RuntimeError(f"two writers stored version {version} of {root}")
+    for old in known[:-keep]:
+        store, target = _folder(spark, _path(root, *old))
+        store.delete(target, True)

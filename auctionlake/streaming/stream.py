@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from auctionlake.functions.base import truthy
 from auctionlake.operators.upsert import upsert
-from auctionlake.streaming.store import read_table, write_version
+from auctionlake.streaming.store import read_table, stored, write_table
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", glob: str | None = None,
@@ -21,10 +21,28 @@ def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str =
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
-def stream_notices(hits: DataFrame, watermark: str = "7 days", ident: str = "id", ts: str = "ts") -> DataFrame:
-    """Each notice once. Ids are remembered for the watermark only, so the state stays bounded."""
-    named = hits.where(truthy(F.col(ident).cast("string"))).withColumn(ts, F.col(ts).cast("timestamp"))
-    return named.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([ident])
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Structured Streaming gave the query of a checkpoint: a fresh checkpoint is another writer."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"].replace("-", "")
+
+
+def stream_notices(hits: DataFrame, path: str, checkpoint: str, ident: str = "id", trigger: dict | None = None) -> StreamingQuery:
+    """Append each notice once to the table under ``path``, however late it comes.
+
+    A batch leaves out the ids that other batches have written; run again, it replaces its own rows.
+    """
+    shape = hits.schema
+
+    def fresh(batch: DataFrame, batch_id: int) -> None:
+        spark, writer = batch.sparkSession, writer_of(batch.sparkSession, checkpoint)
+        rows = batch.where(truthy(F.col(ident).cast("string"))).dropDuplicates([ident])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.schema(f"`{ident}` {shape[ident].dataType.simpleString()}, writer string, batch bigint").parquet(path)
+            rows = rows.join(known.where(~((F.col("writer") == writer) & (F.col("batch") == batch_id))).select(ident), ident, "left_anti")
+        rows.select(*shape.names).write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
+
+    return start(hits.writeStream.foreachBatch(fresh).option("checkpointLocation", checkpoint), trigger)
 
 
 def start(writer, trigger: dict | None) -> StreamingQuery:
@@ -43,13 +61,15 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Fold arriving sightings into the property table under ``root``.
 
-    Every micro-batch reads the table as it was before its own version and writes the rows it changed,
-    so a batch that runs twice has the effect of one.
+    Every micro-batch folds into the newest snapshot and stores the next one, unless the store already holds that
+    batch, so a batch that runs twice has the effect of one.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        current = read_table(batch.sparkSession, root, batch_id)
-        write_version(upsert(current, batch, today or date.today(), order).changes, root, batch_id)
+        spark = batch.sparkSession
+        writer = writer_of(spark, checkpoint)
+        if not stored(spark, root, writer, batch_id):
+            write_table(upsert(read_table(spark, root), batch, today or date.today(), order).snapshot, root, writer, batch_id)
 
     writer = sightings.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return start(writer, trigger)

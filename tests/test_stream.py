@@ -1,12 +1,13 @@
 """The stored table under repeated and interrupted batches."""
 
+import os
 from datetime import date
 
 from auctionlake.operators.upsert import upsert
 from auctionlake.schema import SIGHTING_COLUMNS, struct
 from auctionlake.shared import new_folder
 from auctionlake.streaming import stream
-from auctionlake.streaming.store import compact, read_table, write_version
+from auctionlake.streaming.store import read_table, snapshots, write_table
 
 TODAY = date(2026, 3, 1)
 
@@ -17,16 +18,38 @@ def batch(spark, *rows):
     return spark.createDataFrame([tuple(r[c] for c in schema.names) for r in full], schema)
 
 
-def test_repeated_batch_counts_once(spark, tmp_path):
+def test_fresh_checkpoint_keeps_the_table(spark):
+    landing, root = new_folder(spark, "in"), new_folder(spark, "table")
+    for k, name in enumerate(("a", "b", "z")):
+        own = f"{landing}/{k}"
+        batch(spark, {"ord": k, "source_listing_id": name}).write.parquet(own)
+        rows = stream.stream_files(spark, own, struct(SIGHTING_COLUMNS).add("ord", "long"))
+        stream.stream_upsert(rows, root, new_folder(spark, "mark"), today=TODAY).awaitTermination()
+    got = {r["source_listing_id"]: r["id"] for r in read_table(spark, root).collect()}
+    assert sorted(got) == ["a", "b", "z"] and len(set(got.values())) == 3
+
+
+def test_interrupted_and_crossing_snapshots(spark, tmp_path):
     root = str(tmp_path / "table")
-    first = batch(spark, {"ord": 1, "source_listing_id": "a", "price_cents": 1}, {"ord": 2, "source_listing_id": "b"})
-    second = batch(spark, {"ord": 3, "source_listing_id": "a", "price_cents": 5})
-    for version, rows in ((0, first), (1, second), (1, second)):
-        write_version(upsert(read_table(spark, root, version), rows, TODAY).changes, root, version)
-    table = {r["source_listing_id"]: r for r in read_table(spark, root).collect()}
-    assert (table["a"]["seen_count"], table["a"]["price_cents"], table["b"]["seen_count"]) == (2, 5, 1)
-    compact(spark, root, 2)
-    assert read_table(spark, root).count() == 2
+    assert read_table(spark, root).count() == 0
+    table = upsert(read_table(spark, root), batch(spark, {"ord": 1, "source_listing_id": "a"}), TODAY).snapshot
+    for k in range(5):
+        write_table(table, root, "w", k)
+    assert [v for v, _, _ in snapshots(spark, root)] == [2, 3, 4]
+    os.makedirs(f"{root}/v000000000005-w-9")  # no success marker
+    assert read_table(spark, root).count() == 1
+    table.write.parquet(f"{root}/v000000000005-x-0")
+    write_table(table, root, "w", 6)
+    assert snapshots(spark, root)[-1] == (6, "w", 6)
+
+
+def test_late_notices_come_once(spark):
+    landing, out, mark = (new_folder(spark, n) for n in ("in", "out", "mark"))
+    for ids in (["n1", "n2"], ["n2", "n3", None], ["n1", "n0", "n0"]):
+        spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("append").parquet(landing)
+        rows = stream.stream_files(spark, landing, spark.read.parquet(landing).schema, files_per_batch=1)
+        stream.stream_notices(rows, out, mark).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["n0", "n1", "n2", "n3"]
 
 
 def test_stream_resumes(spark):
