@@ -110,24 +110,24 @@ PUBLICATIONS = {
         prefix="wd_", label="Watauga Democrat", city="Boone", county="Watauga",
         base="https://www.wataugademocrat.com/classifieds/community/public_notices/",
         link=r"/classifieds/community/public_notices/([^\"'<>]+)/ad_([0-9a-f-]+)\.html",
-        link_cap=25, min_chars=0,
+        min_chars=0,
     ),
     "sylva": dict(
         prefix="sh_", label="Sylva Herald", city="Sylva", county="Jackson",
         base="https://www.thesylvaherald.com/classifieds/community/announcements/legal/",
         link=r"/classifieds/community/announcements/legal/()((?:ad_)?[0-9a-f-]+\.html)",
-        link_cap=25, min_chars=0,
+        min_chars=0,
     ),
     "mitchell": dict(
         prefix="mn_", label="Mitchell News", city="Spruce Pine", county="Mitchell",
         base="https://www.mitchellnews.com/classified/legals",
         link=r"/classified/legals/()(?:ad_)?([0-9a-f-]+)",
-        link_cap=15, min_chars=1500,
+        min_chars=1500,
     ),
     "transylvania": dict(
         prefix="tt_", label="Transylvania Times", city="Brevard", county="Transylvania",
         base="https://marketplace.transylvaniatimes.com/brevard-nc/public-notices/search",
-        link=None, link_cap=50, min_chars=0,
+        link=None, min_chars=0,
     ),
 }
 

@@ -91,10 +91,10 @@ def needs_address_enrichment(df: DataFrame, source: str = "hutchens_law") -> Dat
     return df.where((F.col("source") == source) & F.col("acres").isNull() & truthy(F.col("address")))
 
 
-def recent_errors(runs: DataFrame, now: datetime, hours: int = 6, n: int = 5) -> DataFrame:
-    """Newest failures of the last hours."""
+def recent_errors(runs: DataFrame, now: datetime, hours: int = 6, n: int | None = 5) -> DataFrame:
+    """Newest failures of the last hours; all of them without ``n``."""
     since = now - timedelta(hours=hours)
     failed = runs.where((F.col("started_at") >= F.lit(since)) & F.col("status").isin("failed", "error"))
-    return failed.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n)
+    return failed if n is None else failed.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n)
 
 

@@ -38,8 +38,8 @@ def new_since(df: DataFrame, since: date, source: str | None = None, limit: int
     return active(df.where(F.col("first_seen") >= F.lit(since)), limit, source)
 
 
-def new_in_days(df: DataFrame, today: date, days: int = 7) -> DataFrame:
-    return new_since(df, today - timedelta(days=days))
+def new_in_days(df: DataFrame, today: date, days: int = 7, limit: int | None = None) -> DataFrame:
+    return new_since(df, today - timedelta(days=days), limit=limit)
 
 
 def search(
@@ -300,7 +300,7 @@ def run_totals(runs: DataFrame) -> DataFrame:
 def health(runs: DataFrame, now: datetime) -> DataFrame:
     """unhealthy after recent errors, else healthy when any source's last run completed, else degraded."""
     ok = latest_runs(runs).agg(F.count_if(F.col("status") == "completed").alias("healthy_sources"))
-    errors = recent_errors(runs, now).agg(F.count(F.lit(1)).alias("n")).scalar()
+    errors = recent_errors(runs, now, n=None).agg(F.count(F.lit(1)).alias("n")).scalar()
     return ok.withColumn("recent_errors", errors).withColumn(
         "verdict",
         F.when(F.col("recent_errors") > 0, "unhealthy").when(F.col("healthy_sources") > 0, "healthy").otherwise("degraded"),

@@ -133,7 +133,7 @@ def linked_pages(pages, base: str, middle: str, end: str):
 
 def _candidates(publication, base, middle, end):
     return lambda spark, sf: nt.notice_page_candidates(
-        linked_pages(table(spark, sf, "pages", spread=True), base, middle, end), publication
+        linked_pages(table(spark, sf, "pages"), base, middle, end), publication
     ).select("page_id", "uid", "idx", "date")
 
 
@@ -177,7 +177,7 @@ DETAIL_SQL = f"""select page_id, case when ok then '1234-56-' || lpad(cast(page_
 
 
 def details(spark, sf):
-    return nt.notice_details(detail_pages(table(spark, sf, "pages", spread=True)))
+    return nt.notice_details(detail_pages(table(spark, sf, "pages")))
 
 
 def news(publication):
@@ -394,16 +394,16 @@ QUERIES = {
             df.select(F.col("nid").cast("string").alias("pk_id"), F.lit(None).cast("string").alias("sp_case"), "county", "text",
                       F.lit("d").alias("detail_url")), "NC", 20.0).select("source_listing_id", "county", "acres", "description")),
         oracle(NV, """select cast(nid as varchar) as source_listing_id, county, cast(cast(l_quantity as int) + 0.5 as double) as acres,
-            substr(text, 1, 2000) as description from notices_v where cast(l_quantity as int) + 0.5 >= 20"""),
+            text as description from notices_v where cast(l_quantity as int) + 0.5 >= 20"""),
     ),
     "p7_court_notices_tn": (
         lambda spark, sf: nz.normalise_court_notices(
-            table(spark, sf, "documents", spread=True).select(
+            table(spark, sf, "documents").select(
                 F.col("doc_id").cast("string").alias("pk_id"), F.lit(None).cast("string").alias("sp_case"),
                 F.lit(" Knox ").alias("county"), "text", F.lit("d").alias("detail_url")), "TN").select(
             "source_listing_id", "county", "state", F.length("description").alias("kept_chars")),
         """select cast(doc_id as varchar) as source_listing_id, 'knox' as county, 'TN' as state,
-            cast(least(length(text), 2000) as int) as kept_chars from documents""",
+            cast(length(text) as int) as kept_chars from documents""",
     ),
     "p8_unified_batch": (
         lambda spark, sf: _batch(spark, sf).groupBy("source").agg(
@@ -439,7 +439,7 @@ QUERIES = {
         oracle(LV, """select coalesce(source_listing_id, '') as listing_id, court_case, min(id) as id from listings_v group by 1, 2"""),
     ),
     "w3_positional_dates": (
-        lambda spark, sf: linked_pages(table(spark, sf, "pages", spread=True), "/classified/legals/", "", "").select(
+        lambda spark, sf: linked_pages(table(spark, sf, "pages"), "/classified/legals/", "", "").select(
             "page_id", F.inline(nt.assign_dates(
                 F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.lit("s").alias("slug"), i.cast("string").alias("uid"))),
                 F.regexp_extract_all("html", F.lit(nt.P.LONG_DATE), F.lit(0))))).select("page_id", "uid", "date"),

@@ -248,7 +248,7 @@ QUERIES = {
         _runs(lambda df: rp.health(df, NOW)),
         oracle(RV, """with latest as (select source, status from runs_v
               where (source, started_at) in (select (source, max(started_at)) from runs_v group by source)),
-            errors as (select least(count(*), 5) as n from runs_v
+            errors as (select count(*) as n from runs_v
               where started_at >= timestamp '1998-01-30 12:00:00' and status in ('failed', 'error')),
             ok as (select count(*) filter (status = 'completed') as healthy_sources from latest)
             select healthy_sources, n as recent_errors, case when n > 0 then 'unhealthy'
@@ -328,7 +328,7 @@ QUERIES = {
     "o2_new_in_days": (
         _listings(lambda df: rp.new_in_days(df, date(2001, 7, 20)).select("id", "first_seen")),
         oracle(LV, f"""select id, first_seen from listings_v where status = 'active'
-            and first_seen >= date '2001-07-13' order by {DASH} limit 100"""),
+            and first_seen >= date '2001-07-13'"""),
     ),
     "o3_search_page": (
         _listings(lambda df: rp.search(df, "river", page=3, per_page=20).select("id", "address")),
@@ -345,12 +345,11 @@ QUERIES = {
         oracle(RV, "select id, source, started_at, status from runs_v order by started_at desc, id desc limit 50"),
     ),
     "o6_enrichment_cap": (
-        _listings(lambda df: fl.needs_enrichment(df, "src_1", limit=500).select("id")),
+        _listings(lambda df: fl.needs_enrichment(df, "src_1").select("id")),
         oracle(LV, """select id from listings_v where source = 'src_1' and (acres is null or acres_source is null
             or acres_source = 'placeholder' or (coalesce(parcel_number, '') <> '' and coalesce(gis_url, '') = '')
             or (coalesce(parcel_number, '') <> '' and (gis_url ilike '%services6.arcgis.com%'
-                or (google_maps_url ilike '%/maps/search/%' and google_maps_url not ilike '%?api=1%'))))
-            order by id limit 500"""),
+                or (google_maps_url ilike '%/maps/search/%' and google_maps_url not ilike '%?api=1%'))))"""),
     ),
     "o7_by_id": (
         _listings(lambda df: rp.by_id(df, 100).select("id", "address", "price_cents")),
@@ -399,6 +398,6 @@ QUERIES = {
     "k1_export": (
         _listings(lambda df: export_rows(df).select("id", "price_cents", "price")),
         oracle(LV, f"""select id, price_cents, round(price_cents / 100.0, 2) as price from listings_v
-            where status = 'active' order by {DASH} limit 10000"""),
+            where status = 'active'"""),
     ),
 }

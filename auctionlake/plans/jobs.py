@@ -48,14 +48,14 @@ def collect(spark: SparkSession, landing: Landing) -> DataFrame:
 
 
 def numbered(batch: DataFrame, order: tuple[str, str] = ("file", "pos")) -> DataFrame:
-    """Batch with a unique arrival number ``ord``: files by name, then positions of up to 2^24 per file.
+    """Batch with a unique arrival number ``ord``: files by name, each taking as many numbers as its highest position needs.
 
     Only the list of file names is put in one sequence; the driver holds the same list to plan the scan.
     """
     file, pos = order
-    ranked = batch.select(file).distinct().withColumn("_n", F.row_number().over(Window.orderBy(file)))
-    numbers = F.col("_n").cast("long") * (1 << 24) + F.col(pos)
-    return batch.join(ranked, file).withColumn("ord", numbers).drop("_n", file, pos)
+    sizes = batch.groupBy(file).agg((F.max(pos).cast("long") + 1).alias("_n"))
+    ranked = sizes.select(file, (F.sum("_n").over(Window.orderBy(file)) - F.col("_n")).alias("_first"))
+    return batch.join(ranked, file).withColumn("ord", F.col("_first") + F.col(pos)).drop("_first", file, pos)
 
 
 def run_all(current: DataFrame, batch: DataFrame, parcels: DataFrame, today: date) -> tuple[DataFrame, UpsertResult]:

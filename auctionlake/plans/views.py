@@ -10,18 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auctionlake.shared import spread_small
+from auctionlake import dims
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
 ).split()
 
-COUNTY_ROWS = (
-    "alleghany 005 ashe 009 avery 011 buncombe 021 burke 023 caldwell 027 catawba 035 cherokee 039 clay 043 "
-    "cleveland 045 columbus 047 cumberland 049 franklin 069 graham 075 haywood 087 henderson 089 jackson 099 "
-    "macon 113 madison 115 mcdowell 111 mitchell 121 montgomery 123 polk 149 rutherford 161 swain 173"
-).split()
+#: Counties of the derived listings with their codes.
+COUNTY_CODES = list(dims.NC_FIPS.items())[:25]
 
 WORD_1 = "OLD NEW UPPER LOWER EAST WEST LONG"
 WORD_2 = "MILL CREEK CHURCH RIVER VALLEY FOREST STONE MEADOW SPRING ORCHARD QUARRY"
@@ -39,7 +36,7 @@ def _street(key: str, suffix: str) -> str:
 
 VIEWS = {
     "dim_county_v": "select * from (values "
-    + ", ".join(f"({i}, '{COUNTY_ROWS[2 * i]}', '{COUNTY_ROWS[2 * i + 1]}')" for i in range(25))
+    + ", ".join(f"({i}, '{county}', '{code}')" for i, (county, code) in enumerate(COUNTY_CODES))
     + ") as t(k, county, fips)",
     "listings_v": f"""
 select o_orderkey as id,
@@ -215,18 +212,17 @@ def with_views(names: tuple[str, ...], engine: str) -> str:
     return "with " + text.replace("@str", TYPES[engine])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A benchmark table. ``spread`` asks for all cores where the file is too small to be split by size."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A benchmark table."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df) if spread else df
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
     text = with_views((name,), "spark")
     for t in sorted(set(re.findall(r"\b(?:from|join)\s+(\w+)", text)) & set(TABLES)):
-        spread = name in TEXT_VIEWS and t in ("lineitem", "orders")
-        table(spark, sf_dir, t, spread).createOrReplaceTempView(t)
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark.sql(f"{text} select * from {name}")
 
 

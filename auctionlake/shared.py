@@ -11,10 +11,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """The cluster's ``spark.checkpoint.dir``. Where the session names none, a temporary folder in local mode, where all tasks share
+    the driver's disk; on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="spark-")
@@ -33,15 +36,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_small(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
-    """Rows over all cores when the input is smaller than one good split per core, else as read.
-
-    Small files are read as one split however many cores there are; large inputs split by themselves and
-    are not shuffled here.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, df.columns[0]) if size < cores * bytes_per_core else df

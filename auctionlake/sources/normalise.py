@@ -338,7 +338,8 @@ def normalise_court_notices(
         "state": F.lit(state),
         "price_cents": F.lit(100).cast("long"),
         "acres": acres,
-        "description": F.substring("text", 1, 2000),
+        "description": F.col("text"),
+        "raw_source_text": F.col("text"),
         "property_type": F.lit("foreclosure"),
     }
     return sighting(df, columns, keep).where(F.col("acres").isNull() | (F.col("acres") >= min_acres))

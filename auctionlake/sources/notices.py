@@ -62,20 +62,17 @@ def assign_dates(candidates: Column, dates: Column) -> Column:
 
 
 def notice_page_candidates(
-    pages: DataFrame, publication: str, column: str = "html", apply_cap: bool = False
+    pages: DataFrame, publication: str, column: str = "html"
 ) -> DataFrame:
     """Notices linked from the pages of one newspaper, with their assumed dates.
 
-    All work happens inside the page's own arrays: no shuffle. ``apply_cap`` keeps only
-    as many leading links of a page as one visit used to follow.
+    All work happens inside the page's own arrays: no shuffle.
     """
     pub = dims.PUBLICATIONS[publication]
     html = F.col(column)
     slugs = F.regexp_extract_all(html, F.lit(pub["link"]), F.lit(1))
     uids = F.regexp_extract_all(html, F.lit(pub["link"]), F.lit(2))
     links = F.arrays_zip(slugs.alias("slug"), uids.alias("uid"))
-    if apply_cap:
-        links = F.slice(links, 1, pub["link_cap"])
     df = pages.where(F.length(strip_html(html)) >= pub["min_chars"]) if pub["min_chars"] else pages
     df = df.withColumn("_links", links).withColumn("_uids", F.col("_links.uid"))
     first = F.filter("_links", lambda x, i: F.array_position(F.col("_uids"), x["uid"]) == i + 1)
@@ -173,4 +170,3 @@ def notice_details(pages: DataFrame, column: str = "html") -> DataFrame:
     ).drop(column)
 
 
-HIT_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in SOURCE_FIELDS])

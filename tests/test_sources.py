@@ -3,7 +3,6 @@
 import json
 from datetime import date
 
-from auctionlake import dims
 from auctionlake.operators import mutate
 from auctionlake.operators.sequence import dense_index, neighbours, long_levels
 from auctionlake.plans import jobs
@@ -83,11 +82,10 @@ def test_tn_parcels(spark, tmp_path):
     assert (row["COUNTY_ID"], row["OWNER"], row["DEEDAC"]) == (3, "X", 1.5)
 
 
-def test_link_cap_is_optional(spark):
+def test_all_links_of_a_page(spark):
     html = "".join(f'<a href="/classified/legals/{i:08x}-0">' for i in range(40)) + "x" * 2000 + "Jan 1, 2026"
     pages = spark.createDataFrame([(1, html)], "page_id int, html string")
     assert nt.notice_page_candidates(pages, "mitchell").count() == 40
-    assert nt.notice_page_candidates(pages, "mitchell", apply_cap=True).count() == dims.PUBLICATIONS["mitchell"]["link_cap"]
 
 
 def test_tax_grid_needs_nine_cells(spark):
