@@ -85,6 +85,18 @@ class Subwords:
                 self.words[w] = self.older.get(w) or self.word(w)
         return b"".join(map(self.words.__getitem__, words))
 
+    def one(self, word: bytes) -> bytes:
+        """Ids of one word without blanks, A-Z lower-cased, special tokens' strings included."""
+        got = self.words.get(word)
+        if got is None:
+            if len(self.words) >= self.kept:
+                self.older, self.words = self.words, {}
+            got = self.older.get(word)
+            if got is None:
+                got = self.whole(word) if not self.by_word or self.marked(word) else self.word(word)
+            self.words[word] = got
+        return got
+
     def marked(self, folded: bytes) -> bool:
         """Whether a special token's own string stands in the text; such texts are encoded as a whole."""
         return any(m in folded for m in self.marks)
