@@ -50,7 +50,7 @@ RULES = (
 
 #: Every sentence above has one of these; texts without them are not split.
 CUES = ("licen", "permission", "reserved", "warrant", "redistribut")
-ENDS, SIGNS = r"[.!?;:]+\s+|[\r\n]+", "[^a-z0-9]+"
+ENDS, SIGNS = r"[.!?;]+\s+|[\r\n]+", "[^a-z0-9]+"
 
 
 def marked(numbers: tuple[int, ...]) -> str:

@@ -71,7 +71,9 @@ class Subwords:
     def word(self, word: bytes) -> bytes:
         """Ids of one word without blanks, A-Z lower-cased."""
         text = word.decode("utf-8", "replace")
-        if not text.isascii() or not text.isprintable():
+        if not text.isprintable():  # libraries differ in which control characters are white space
+            return self.whole(word)
+        if not text.isascii():
             text = self.tokenizer.normalizer.normalize_str(text)
         return b"".join(map(self.part, self.pieces(text)))
 
