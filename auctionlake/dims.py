@@ -87,24 +87,7 @@ COUNTY_VIEWERS = {
     "yancey": ("https://yanceycountync.org/property-search", "ParcelID"),
 }
 
-# Cadastral layers by county: (service folder, parcel field).
-CADASTRAL_BASE = "https://services6.arcgis.com/GYPQqV4e8e7G5hJz/ArcGIS/rest/services"
-CADASTRAL_LAYERS = {
-    "alleghany": ("Alleghany_Cadastral", "PARCELID"),
-    "cherokee": ("Cadastral", "NEWPIN"),
-    "haywood": ("Haywood_Cadastral", "PARCELIDN"),
-    "henderson": ("Henderson_Cadastral", "PARCELIDN"),
-    "madison": ("Madison_Cadastral", "PARCELIDN"),
-    "transylvania": ("Transylvania_Cadastral", "PARCELIDN"),
-    "jackson": ("Jackson_Cadastral", "PARCELIDN"),
-    "clay": ("Clay_Cadastral", "PARCELIDN"),
-    "graham": ("Graham_Cadastral", "PARCELIDN"),
-    "swain": ("Swain_Cadastral", "PARCELIDN"),
-}
-
-# Newspapers: id prefix, label, city, county, page address, link pattern, whether
-# the slug decides relevance, whether titles come from the slug, title fallback,
-# shortest page accepted, and how many links one page used to yield at most.
+# Newspapers: id prefix, label, city, county, page address, link pattern and shortest page accepted.
 PUBLICATIONS = {
     "watauga": dict(
         prefix="wd_", label="Watauga Democrat", city="Boone", county="Watauga",
@@ -146,7 +129,6 @@ PROBATE_SIGNALS = (
     "notice to creditors", "probate", "having qualified as", "estate file", "executor of the estate",
 )
 BACKFILL_DAYS = 180
-ROLLING_DAYS = 7
 DEFAULT_MIN_ACRES = 10.0
 RUN_ALL_MIN_ACRES = 2.0
 

@@ -66,14 +66,6 @@ def county_viewer_url(county: str | Column, parcel: str | Column) -> Column:
     return F.when(truthy(county) & truthy(parcel), F.coalesce(F.concat(head, quote(parcel)), search))
 
 
-def cadastral_layer(county: str | Column) -> Column:
-    """struct(url, field) of the county's cadastral layer, null when none is known."""
-    key = F.lower(strip(col(county)))
-    urls = {c: f"{dims.CADASTRAL_BASE}/{s}/FeatureServer/0" for c, (s, _) in dims.CADASTRAL_LAYERS.items()}
-    fields = {c: f for c, (_, f) in dims.CADASTRAL_LAYERS.items()}
-    return F.struct(dims.lookup(urls, key).alias("url"), dims.lookup(fields, key).alias("field"))
-
-
 def assessor_url(county: str | Column, state: str | Column, parcel: str | Column) -> Column:
     """Generic assessor page; '' without a parcel."""
     county, state, parcel = (strip(F.coalesce(col(c), F.lit(""))) for c in (county, state, parcel))

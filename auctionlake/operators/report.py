@@ -99,7 +99,7 @@ def case_peers(df: DataFrame) -> DataFrame:
 def same_case(df: DataFrame, listing_id: int) -> DataFrame:
     """The other active listings of one listing's court case."""
     case = F.trim(by_id(df, listing_id).select(F.max("court_case")).scalar())
-    return df.where(ACTIVE).where((F.col("court_case") == case) & (F.col("id") != listing_id))
+    return df.where(ACTIVE).where((F.trim("court_case") == case) & (F.col("id") != listing_id))
 
 
 def navigation(df: DataFrame, category: str | None = None) -> DataFrame:

@@ -179,11 +179,9 @@ QUERIES = {
             as t(c, head) on c = county"""),
     ),
     "c30_assessor": (
-        _on(LV, lambda df: df.select("id", links.assessor_url("county", "state", "parcel_number").alias("assessor"),
-                                     links.cadastral_layer("county")["field"].alias("layer_field"))),
-        oracle(LV, f"""select id, case when parcel_number <> '' then 'https://www.' || county || 'nc.countyassessor.org/parcel/'
-            || parcel_number else '' end as assessor, f as layer_field from listings_v
-            left join (values {", ".join(f"('{c}', '{f}')" for c, (_, f) in dims.CADASTRAL_LAYERS.items())}) as t(c, f) on c = county"""),
+        _on(LV, lambda df: df.select("id", links.assessor_url("county", "state", "parcel_number").alias("assessor"))),
+        oracle(LV, """select id, case when parcel_number <> '' then 'https://www.' || county || 'nc.countyassessor.org/parcel/'
+            || parcel_number else '' end as assessor from listings_v"""),
     ),
     "c31_session_id": _texts(
         "session", lambda: links.session_id("portal"), "case when tid % 2 = 0 then 'a' || tid || 'z' end"),
