@@ -64,11 +64,19 @@ def snippets(text: str) -> list[str]:
 def train(docs: DataFrame, most: int = 300) -> list[tuple[str, str, str, bytes, float]]:
     """Machines (level, one, two, weights, bias) from rows (lang, text, doc_id): level "" tells families apart, others languages.
 
-    At most ``most`` rows of each language, those of least hash of id and text, are used. Each level is trained in a task of
+    At most ``most`` rows of each language, those of least hash of id and text, are used; a bound on the hash from the
+    language's size keeps all but some of them from moving. Each level is trained in a task of
     its own; what reaches the driver is one weight vector of 4,096 numbers per pair.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+    sizes = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows")).collect()  # as many as the labels to learn
+    if not sizes:
+        return []
+    rows_of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["rows"])])
+    hashed = docs.where("lang is not null").withColumns({"rows": F.try_element_at(rows_of, F.col("lang")), "hash": F.xxhash64("doc_id", "text")})
+    share = F.col("hash").cast("double") / 2.0**64 + 0.5  # even between 0 and 1, so about four times ``most`` rows go on
+    few = hashed.where((share < 4 * most / F.col("rows")) & F.col("text").rlike(LETTER))
+    rank = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    sample = few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
     known = F.create_map(*[F.lit(x) for pair in FAMILY.items() for x in pair])
     family = F.coalesce(F.get(F.array(known[F.col("lang")]), F.lit(0)), F.col("lang"))
     rows = sample.select("text", F.explode(F.array(
