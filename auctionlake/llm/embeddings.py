@@ -59,18 +59,46 @@ def cap(dim: int, directions: int, expected: float) -> float:
     return NormalDist().inv_cdf(1 - min(0.5, expected / directions)) / np.sqrt(dim)
 
 
+@lru_cache(maxsize=16)
+def chosen(dim: int, blocks: int, words: int, expected: float, least: float, miss: float, seed: int, pairs: int = 3000) -> tuple[float, int]:
+    """(bound, codes): the bound that random vectors reach for ``expected`` directions of a code on average, and how many codes
+    with rotations of their own are needed until two vectors at cosine ``least`` share no filter with chance ``miss`` at most.
+
+    Both are measured with ``filters`` itself on random pairs. A code's rotation is uniform, so any pair of that cosine is
+    missed by a code as often as these are, whatever the data; codes are independent, so their chances multiply.
+    """
+    rng = np.random.default_rng((seed, dim, words))
+    x, turn = (rng.standard_normal((pairs, dim)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-300)
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * turn if dim > 1 else x
+    bound = cap(dim, words**blocks, expected)
+    while bound > 1e-3 and np.mean([len(f) for f in filters(x[:500], blocks, words, bound, seed)]) < expected:
+        bound *= 0.98
+    missed, parts = 0, 6  # several codes, so that the figure is not that of one
+    for k, at in enumerate(np.array_split(np.arange(pairs), parts)):
+        sides = (filters(side[at], blocks, words, bound, seed + 1000 + k) for side in (x, y))
+        missed += sum(len(np.intersect1d(a, b, assume_unique=True)) == 0 for a, b in zip(*sides, strict=True))
+    high = (missed + 2 * np.sqrt(missed) + 2) / pairs  # the upper end of what so many pairs can tell
+    return float(bound), max(1, int(np.ceil(np.log(miss) / np.log(min(0.9, high)))))
+
+
 def near_vectors(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
     expected: float = 48.0, blocks: int = 2, fill: int = 100, seed: int = 5, block: int = 512,
+    miss: float = 0.001,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows are linked if their labels are equal and their cosine in double precision is ``least`` or more. Equal vectors of a label
     are one class that goes on alone with its number of rows. Each class is decoded to all filters whose cap it lies
-    in, about ``expected``; the code grows with the largest label so that a filter holds about ``fill`` classes of it. Classes meet in
+    in, about ``expected`` of each code; a code grows with the largest label so that a filter holds about ``fill`` classes of it. Near
+    vectors share fewer caps of larger codes, so there are as many independent codes as bring the chance that a pair at
+    cosine ``least`` shares none down to ``miss``, whatever the label's size (``chosen``). Classes meet in
     the filters they share, larger ones cut into blocks of which each two meet in a task of their own, and each pair is
     checked in the first filter both share. Tasks return counts per class and the links that join components, not
-    pairs. Near vectors lie in some 30 common caps at cosine 0.93, so recall is above 0.999 (tests measure it).
+    pairs.
 
     Vectors that are null, zero or hold null or non-finite numbers, and rows without a label or id, link with nothing and are kept.
     Rows that repeat an id count as vectors of their own. Other columns are not read; no rows give no rows.
@@ -85,6 +113,7 @@ def near_vectors(
     )
     largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
     words = int(np.ceil(max(expected * 8, largest * expected / fill) ** (1 / blocks)))
+    plans = {r["dim"]: chosen(r["dim"], blocks, words, expected, least, miss, seed) for r in classes.select("dim").distinct().collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +125,10 @@ def near_vectors(
                 m = np.asarray([x[i] for i in own], float)
                 m /= np.abs(m).max(axis=1, keepdims=True)
                 m /= np.linalg.norm(m, axis=1, keepdims=True)
-                for i, found in zip(own, filters(m, blocks, words, cap(int(dim), words**blocks, expected), seed), strict=True):
-                    names[i] = found
+                bound, codes = plans[int(dim)]
+                of_code = [filters(m, blocks, words, bound, seed + k) for k in range(codes)]
+                for i, *found in zip(own, *of_code, strict=True):
+                    names[i] = np.concatenate([f + k * words**blocks for k, f in enumerate(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["cls", "label", "v", "dim", "copies", "names"])
 
     decoded = staged(
@@ -109,11 +140,11 @@ def near_vectors(
     cut = members.join(many, ["label", "dim", "name"]).withColumn("blocks", F.ceil(F.col("many") / block)).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("cls", "name", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    met = dealt.join(decoded.select("cls", "label", "dim", "v", "copies", "names"), "cls")
+    met = dealt.join(decoded.select("cls", "label", "dim", "v", "copies", "names"), "cls").withColumn("names", F.filter("names", lambda x: x < F.col("name")))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         own, cls, copies = (group[c].to_numpy() for c in ("own", "cls", "copies"))
-        name, low, high = (group[c].iloc[0] for c in ("name", "low", "high"))
+        low, high = (group[c].iloc[0] for c in ("low", "high"))
         m = np.stack(group["v"].to_list())
         m = m / np.abs(m).max(axis=1, keepdims=True)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -123,11 +154,16 @@ def near_vectors(
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
         if len(i):  # of the filters that both share, this must be the first
-            listed, kinds = np.unique(np.concatenate(group["names"].to_list()), return_inverse=True)
-            has = np.zeros((len(group), len(listed)), np.float32)
-            has[np.repeat(np.arange(len(group)), group["names"].map(len)), kinds] = 1
-            before = has[:, listed < name]
-            earlier = (before[left] @ before[right].T)[i, j] > 0
+            listed, kinds, many = np.unique(np.concatenate(group["names"].to_list()), return_inverse=True, return_counts=True)
+            of = np.repeat(np.arange(len(group)), group["names"].map(len))
+            shared = np.cumsum(many > 1) - 1  # names that one row alone has tell nothing
+            of, kinds = of[many[kinds] > 1], shared[kinds[many[kinds] > 1]]
+            earlier = np.zeros(len(i), bool)
+            for at in range(0, int((many > 1).sum()), 4096):  # some names at a time
+                here = (kinds >= at) & (kinds < at + 4096)
+                before = np.zeros((len(group), 4096), np.float32)
+                before[of[here], kinds[here] - at] = 1
+                earlier |= (before[left] @ before[right].T)[i, j] > 0
             i, j = left[i[~earlier]], right[j[~earlier]]
         n = np.bincount(i, copies[j], len(group)) + np.bincount(j, copies[i], len(group)) if len(i) else np.zeros(len(group))
         joined: dict[int, int] = {}

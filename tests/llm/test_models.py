@@ -65,6 +65,23 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("largest", [218, 100_000, 1_000_000])
+def test_recall_does_not_fall_with_the_label(largest):
+    expected, fill, least, blocks = 48.0, 100, 0.93, 2
+    words = int(np.ceil(max(expected * 8, largest * expected / fill) ** (1 / blocks)))
+    bound, codes = embeddings.chosen(64, blocks, words, expected, least, 0.001, 5)
+    rng = np.random.default_rng(largest)
+    x, side = (rng.standard_normal((4000, 64)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = least * x + (1 - least**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    met = np.zeros(len(x), bool)
+    for k in range(codes):
+        a, b = (embeddings.filters(m, blocks, words, bound, 5 + k) for m in (x, y))
+        met |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]
+    assert (~met).mean() <= 0.002
+
+
 def test_list_decoding_finds_all_filters():
     rng = np.random.default_rng(2)
     v = rng.standard_normal((20, 24))
