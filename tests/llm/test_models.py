@@ -125,6 +125,17 @@ def test_each_id_is_scored_once_from_what_stands_before_it():
     assert total + math.exp(scoring.log_probabilities(model, ids[:5], np.asarray([5]))[5]) == pytest.approx(1, abs=1e-3)
 
 
+def test_attention_learns_from_every_training_document(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(k, " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(12))) for k in range(700)], "doc_id bigint, text string")
+    source = docs.select("doc_id", scoring.held_out(docs.doc_id).alias("held"), docs.text.cast("binary").alias("text"))
+    blocks = scoring.blocks_of(source, vocabulary(), 9000).localCheckpoint()
+    counts = scoring.subword_counts(blocks, vocabulary())
+    model = scoring.fit(blocks, vocabulary(), counts, rounds=2, steps=60)
+    moved = (model.weights["E"] != scoring.start(counts, model.classes)["E"]).any(axis=1)
+    assert blocks.count() > 2 and moved[counts > 0].mean() > 0.98 and not moved[counts == 0].any()
+
+
 def test_scores_of_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text").unionByName(prose(spark, 40).selectExpr("doc_id + 100 as doc_id", "text")).withColumn("score", scoring.F.lit("clash"))
     got = scoring.score(docs, vocabulary(), block_bytes=2000).collect()
