@@ -21,7 +21,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard(sharding.keyed(table(spark, sf_dir, "documents")), 40)
+    rows = sharding.keyed(sharding.shard(table(spark, sf_dir, "documents"), 40), "shard", "slot")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

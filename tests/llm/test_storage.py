@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from auctionlake.llm import sharding, tokenfiles
+from auctionlake.llm import queries, sharding, tokenfiles
 from auctionlake.llm.subwords import vocabulary
 
 
@@ -50,6 +50,28 @@ def test_shards_of_odd_rows(spark, odd):
     assert sharding.shard(sharding.keyed(odd).where("false"), 4).count() == 0
 
 
+def test_query_exchanges_whole_documents(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    taken, real = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda rows, *a, **b: taken.append(rows.columns) or real(rows, *a, **b))
+    got = queries.op3_sharding(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert taken == [["doc_id", "text", "lang", "shard"]] and plan.index("crc32") < plan.index("Window")
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in odd.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got.collect()) == want
+
+
+def test_shards_are_sliced_by_bytes(spark, odd):
+    got = sharding.shard(odd, 4, slot_bytes=1000)
+    assert "slice" in got._jdf.queryExecution().analyzed().toString()
+    rows = got.collect()
+    for s in range(4):
+        own = sorted(r.slot for r in rows if r.shard == s)
+        assert own == list(range(len(own))) and len(own) in (3, 4)
+    texts = lambda frame: Counter((r.doc_id, r.text, r.lang) for r in frame)
+    assert texts(rows) == texts(odd.collect())
+
+
 def test_shards_are_uniform(spark):
     got = sharding.shard(spark.range(0, 8000, 1, 7), 8, seed=9).groupBy("shard").agg({"id": "avg"}).collect()
     assert all(abs(r[1] - 4000) < 5 * 2310 / 1000**0.5 for r in got)
