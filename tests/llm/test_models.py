@@ -136,6 +136,18 @@ def test_attention_learns_from_every_training_document(spark):
     assert blocks.count() > 2 and moved[counts > 0].mean() > 0.98 and not moved[counts == 0].any()
 
 
+def test_score_is_the_attention_models_own(spark):
+    docs = prose(spark, 60).select("doc_id", "text").coalesce(1)
+    got = {r.doc_id: r.score for r in scoring.score(docs, vocabulary()).collect()}
+    source = docs.select("doc_id", scoring.held_out(docs.doc_id).alias("held"), docs.text.cast("binary").alias("text"))
+    blocks = scoring.blocks_of(source, vocabulary(), 12 << 20)
+    model = scoring.fit(blocks, vocabulary(), scoring.subword_counts(blocks, vocabulary()))
+    coder = scoring.subwords(vocabulary())
+    for r in docs.collect():
+        ids = np.frombuffer(b"".join(coder.one(w) for w in r.text.encode().lower().split()), coder.dtype).astype(np.int64)
+        assert got[r.doc_id] == pytest.approx(float(scoring.log_probabilities(model, ids, np.asarray([len(ids)])).sum()) / math.log(10), rel=1e-3)
+
+
 def test_scores_of_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text").unionByName(prose(spark, 40).selectExpr("doc_id + 100 as doc_id", "text")).withColumn("score", scoring.F.lit("clash"))
     got = scoring.score(docs, vocabulary(), block_bytes=2000).collect()
