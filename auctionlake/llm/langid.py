@@ -61,22 +61,29 @@ def snippets(text: str) -> list[str]:
     return [text, *(s for s in (text[mid:mid + 40], text[mid // 2:mid // 2 + 120]) if regex.search(LETTER, s))]
 
 
-def train(docs: DataFrame, most: int = 300) -> list[tuple[str, str, str, bytes, float]]:
-    """Machines (level, one, two, weights, bias) from rows (lang, text, doc_id): level "" tells families apart, others languages.
-
-    At most ``most`` rows of each language, those of least hash of id and text, are used; a bound on the hash from the
-    language's size keeps all but some of them from moving. Each level is trained in a task of
-    its own; what reaches the driver is one weight vector of 4,096 numbers per pair.
-    """
+def sampled(docs: DataFrame, most: int) -> DataFrame | None:
+    """At most ``most`` lettered rows of each language from rows (lang, text, doc_id), those of least hash of id and text; none if
+    nothing is labelled. A bound on the hash from the language's size keeps all but some of them from moving."""
     sizes = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("rows")).collect()  # as many as the labels to learn
     if not sizes:
-        return []
+        return None
     rows_of = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["rows"])])
     hashed = docs.where("lang is not null").withColumns({"rows": F.try_element_at(rows_of, F.col("lang")), "hash": F.xxhash64("doc_id", "text")})
     share = F.col("hash").cast("double") / 2.0**64 + 0.5  # even between 0 and 1, so about four times ``most`` rows go on
     few = hashed.where((share < 4 * most / F.col("rows")) & F.col("text").rlike(LETTER))
     rank = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    sample = few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+    return few.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+
+
+def train(docs: DataFrame, most: int = 300) -> list[tuple[str, str, str, bytes, float]]:
+    """Machines (level, one, two, weights, bias) from rows (lang, text, doc_id): level "" tells families apart, others languages.
+
+    At most ``most`` rows of each language are used (``sampled``). Each level is trained in a task of
+    its own; what reaches the driver is one weight vector of 4,096 numbers per pair.
+    """
+    sample = sampled(docs, most)
+    if sample is None:
+        return []
     known = F.create_map(*[F.lit(x) for pair in FAMILY.items() for x in pair])
     family = F.coalesce(F.get(F.array(known[F.col("lang")]), F.lit(0)), F.col("lang"))
     rows = sample.select("text", F.explode(F.array(
@@ -152,12 +159,25 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "
     return docs.withColumn("_found", predict(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
 
 
-def recognised(docs: DataFrame, lowest: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows, with the columns as they were, whose language is known with at least the score ``lowest``."""
+def lowest_score(held: DataFrame, predict, lost: float = 0.002, slack: float = 0.9, most: int = 1000) -> float:
+    """The score under which a text counts as of no learned language: nine tenths of the score that all but the share ``lost`` of the
+    rightly predicted rows (lang, text, doc_id) kept from training reach; 0 without such rows."""
+    rows = sampled(held, most)
+    if rows is None:
+        return 0.0
+    found = rows.withColumn("_found", predict("text")).where("_found.lang = lang").agg(F.percentile(F.col("_found.score"), F.lit(lost)).alias("q")).first()["q"]
+    return slack * (found or 0.0)
+
+
+def recognised(docs: DataFrame, lowest: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, with the columns as they were, whose language is known with at least the score ``lowest``, which is calibrated on the
+    labelled rows kept from training (``lowest_score``) unless given."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    predict = predictor(train(rows.where(~held_out(F.col("doc_id")))))
+    kept = held_out(F.col("doc_id"))
+    predict = predictor(train(rows.where(~kept)))
+    least = lowest_score(rows.where(kept), predict) if lowest is None else lowest
     found = docs.withColumn("_found", predict(F.col(text_col).cast("string")))
-    return found.where((F.col("_found.lang") != "und") & (F.col("_found.score") >= lowest)).drop("_found")
+    return found.where((F.col("_found.lang") != "und") & (F.col("_found.score") >= least)).drop("_found")
 
 
 def share_right(found: Iterable[tuple[str, str]]) -> float:

@@ -34,6 +34,13 @@ def test_languages_of_held_out_texts(spark, odd):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = prose(spark)
+    strange = ["12 34 a 56 78 90 11 22", "Ωραία ημέρα για έναν περίπατο στη θάλασσα", "日本語の文章はここにあります", "<td>1</td><td>2</td>", "zxqj kvwx qqzz jxkv wvxq"]
+    more = spark.createDataFrame([(1000 + k, t, None) for k, t in enumerate(strange)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in langid.recognised(docs.unionByName(more)).collect()) == list(range(160))
+
+
 def test_machine_separates():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 5)).astype(np.float32)
