@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licenses, minhash, packing, scoring, sharding, tokenfiles, urls
+from . import decontaminate, embeddings, langid, licenses, minhash, packing, periodic, quality, scoring, sharding, tokenfiles, urls, variants
 from .common import table
 from .subwords import vocabulary
 
@@ -58,6 +58,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(table(spark, sf_dir, "documents"), damage=199)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents"))))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_scoring": (op1_scoring, None),
     "op2_minhash": (op2_minhash, None),
@@ -69,4 +81,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_licenses": (op8_licenses, licenses.SQL),
     "op9_packing": (op9_packing, None),
     "op10_decontamination": (op10_decontamination, decontaminate.SQL),
+    "op11_variants": (op11_variants, None),
+    "op12_periodic": (op12_periodic, None),
+    "op13_quality": (op13_quality, quality.SQL),
 }
