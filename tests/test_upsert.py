@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 
-from auctionlake.operators.upsert import batch_outcome, upsert
+from auctionlake.operators.upsert import _fold_routes, batch_outcome, routed, upsert
 from auctionlake.schema import PROPERTY_COLUMNS, SIGHTING_COLUMNS, struct
 
 TODAY = date(2026, 3, 1)
@@ -145,3 +145,11 @@ def test_hot_property(spark):
          "address": "1 Main", "price_cents": i, "initial_auction_date": " x" if i % 2 else "x"} for i in range(600)
     ]
     check(spark, [], batch)
+
+
+def test_fold_is_hash_aggregated_over_narrow_rows(spark):
+    """No sort before the first shuffle, and none of the wide texts in it."""
+    _, batch = frames(spark, [], [sighting(random.Random(1), i, 5) for i in range(20)])
+    text = _fold_routes(routed(batch))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("HashAggregate") == 2
+    assert "raw_source_text" not in text.split("HashAggregate")[1]
