@@ -129,6 +129,7 @@ PROBATE_SIGNALS = (
     "notice to creditors", "probate", "having qualified as", "estate file", "executor of the estate",
 )
 BACKFILL_DAYS = 180
+OVERLAP_DAYS = 7
 DEFAULT_MIN_ACRES = 10.0
 RUN_ALL_MIN_ACRES = 2.0
 

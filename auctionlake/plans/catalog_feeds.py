@@ -304,6 +304,10 @@ QUERIES = {
         _on(NV, lambda df: nt.incremental_window(df, date(1999, 6, 20), date(1999, 6, 30), ts="shipped").select("nid", "shipped")),
         oracle(NV, "select nid, shipped from notices_v where shipped between date '1999-06-20' and date '1999-06-30'"),
     ),
+    "s10_overlap_window": (
+        _on(NV, lambda df: nt.incremental_window(df, date(1999, 6, 29), date(1999, 6, 30), ts="shipped").select("nid", "shipped")),
+        oracle(NV, "select nid, shipped from notices_v where shipped between date '1999-06-30' - 7 and date '1999-06-30'"),
+    ),
     "p1_listing_json": (
         lambda spark, sf: nz.normalise_listing_json(listing_json(spark, sf), keep=("rid",)).select(
             "rid", "source_listing_id", "court_case", "address", "city", "county", "price_cents", "property_type",

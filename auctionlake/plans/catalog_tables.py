@@ -18,7 +18,7 @@ from auctionlake.plans.views import oracle, table, view, with_views
 from auctionlake.schema import PROPERTY_COLUMNS, conform, struct, with_columns_of
 from auctionlake.shared import new_folder
 from auctionlake.sources.sinks import append_runs, read_runs, read_snapshot, write_snapshot
-from auctionlake.streaming import stream
+from auctionlake.streaming import pull, stream
 from auctionlake.streaming.store import read_table, write_table
 
 CV = "current_v"
@@ -245,6 +245,17 @@ def st1_incremental(spark, sf):
     return spark.read.parquet(out)
 
 
+def st1_pulls(spark, sf):
+    """Three pulls by date: a backfill, one that fails before its mark, and one that reads a week again and finds what came late."""
+    root, events = new_folder(spark, "pulls"), table(spark, sf, "events").select("event_id", "ts", "event_type")
+    late = F.col("event_id") % 5 == 0
+    pull.pull(events.where(~late), root, date(2024, 1, 12), "event_id", "ts", backfill=8)
+    events.write.parquet(f"{root}/rows/run=1")
+    pull.pull(events, root, date(2024, 1, 15), "event_id", "ts", backfill=8)
+    pull.pull(events, root, date(2024, 1, 25), "event_id", "ts", backfill=8)
+    return pull.pulled(spark, root).select("event_id", "event_type", F.col("run").cast("bigint").alias("run"))
+
+
 def st2_periodic(spark, sf):
     """The same on a clock, stopped once all landed files are read."""
     out = new_folder(spark, "notices")
@@ -478,6 +489,10 @@ QUERIES = {
     ),
     # -- streams
     "st1_incremental_pull": (st1_incremental, "select event_id, ts, event_type from events"),
+    "st1_pull_by_mark": (st1_pulls, """select event_id, event_type, case when event_id % 5 > 0 and d between date '2024-01-04' and date '2024-01-12' then 0
+        when d between date '2024-01-08' and date '2024-01-15' then 1 else 2 end::bigint as run
+        from (select *, ts::date as d from events) where event_id % 5 > 0 and d between date '2024-01-04' and date '2024-01-25'
+          or d between date '2024-01-08' and date '2024-01-25'"""),
     "st2_periodic_run": (st2_periodic, "select event_type, count(*) as n from events group by 1"),
     "st3_seen_ids": (st3_seen, "select distinct event_type || user_id as id from events"),
     "st4_stream_upsert": (
@@ -490,11 +505,17 @@ QUERIES = {
     ),
     "st5_bid_clock": (
         lambda spark, sf: stream.bid_clock(
-            table(spark, sf, "events").select("ts", F.col("user_id").alias("listing_id"), F.col("value").alias("amount")), gap="1 day"),
-        """select listing_id, min(ts) as first_bid, max(ts) + interval 1 day as closes, count(*) as bids, max(value) as high_bid from (
-            select *, sum(fresh) over (partition by listing_id order by ts rows unbounded preceding) as run from (
-              select user_id as listing_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts) < interval 1 day
-                then 0 else 1 end as fresh from events)) group by listing_id, run""",
+            table(spark, sf, "events").select("ts", F.col("user_id").alias("listing_id"), F.col("value").alias("amount")), gap="1 day", least_raise=20),
+        """with recursive b as (select user_id as listing_id, ts, value, row_number() over (partition by user_id order by ts, value) as k from events),
+          r as (select listing_id, k, ts as first_bid, ts as last_bid, value as high_bid, 1 as bids, 0 as rejected from b where k = 1 union all
+            select listing_id, b.k, case when late then ts else first_bid end, case when late or raised then ts else last_bid end,
+              case when late or raised then value else high_bid end, case when late then 1 when raised then bids + 1 else bids end,
+              case when late then 0 when raised then rejected else rejected + 1 end
+            from (select b.*, r.first_bid, r.last_bid, r.high_bid, r.bids, r.rejected, b.ts >= r.last_bid + interval 1 day as late,
+                b.value >= r.high_bid + greatest(r.high_bid * 0.05::double, 20) as raised
+              from r join b on b.listing_id = r.listing_id and b.k = r.k + 1) as b)
+        select listing_id, first_bid, last_bid + interval 1 day as closes, bids::bigint as bids, rejected::bigint as rejected, high_bid
+        from r qualify row_number() over (partition by listing_id, first_bid order by k desc) = 1""",
     ),
     "run_all_job": (run_all, None),
 }

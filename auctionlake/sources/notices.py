@@ -35,13 +35,14 @@ def read_notice_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def incremental_window(
     df: DataFrame, last_end: date | None, today: date, ts: str = "date_start",
-    backfill: int = dims.BACKFILL_DAYS,
+    backfill: int = dims.BACKFILL_DAYS, overlap: int = dims.OVERLAP_DAYS,
 ) -> DataFrame:
-    """Rows of the days to be read now: from the high-water mark, or ``backfill`` days back the first time.
+    """Rows of the days to be read now: from the high-water mark or ``overlap`` days back, whichever is earlier, or ``backfill`` days
+    back the first time.
 
-    The mark is a day that was read before it ended, so it is read again.
+    Days are read again because notices are also published late, under an older date; ``streaming.pull`` leaves out what it has.
     """
-    start = last_end or today - timedelta(days=backfill)
+    start = min(last_end, today - timedelta(days=overlap)) if last_end else today - timedelta(days=backfill)
     return df.where(F.to_date(ts).between(F.lit(start), F.lit(today)))
 
 

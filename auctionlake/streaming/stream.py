@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -80,13 +80,55 @@ def run_every(minutes: int = 360) -> dict:
     return {"processingTime": f"{minutes} minutes"}
 
 
-def bid_clock(bids: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("listing_id",), gap: str = "10 days") -> DataFrame:
-    """Upset-bid periods: each bid restarts the clock; the period ends when it runs out.
+PERIOD = "struct<first_bid:timestamp,last_bid:timestamp,amount:double,bids:bigint,rejected:bigint>"
 
-    Follows the written rule of the upset-bid law rather than any code.
+
+def bid_periods(bids: Column, gap: str, percent: float, least_raise: float) -> Column:
+    """Upset-bid periods of one listing's bids (array of (ts, amount), any order), as an array of ``PERIOD``.
+
+    A bid counts if it raises the last accepted one by ``percent`` and by ``least_raise`` at least, and then restarts the clock. One that
+    comes when the clock has run out opens a new period, whatever its amount.
+    """
+    length = F.expr(f"interval {gap}")
+
+    def take(periods: Column, bid: Column) -> Column:
+        last = F.try_element_at(periods, F.lit(-1))
+        opened = F.struct(
+            bid["ts"].alias("first_bid"), bid["ts"].alias("last_bid"), bid["amount"].alias("amount"),
+            F.lit(1).cast("bigint").alias("bids"), F.lit(0).cast("bigint").alias("rejected"),
+        ).cast(PERIOD)
+        high = F.coalesce(last["amount"], F.lit(0.0))
+        counts = F.coalesce(bid["amount"] >= high + F.greatest(high * (percent / 100), F.lit(float(least_raise))), F.lit(False))
+        raised = F.struct(
+            last["first_bid"].alias("first_bid"), F.when(counts, bid["ts"]).otherwise(last["last_bid"]).alias("last_bid"),
+            F.when(counts, bid["amount"]).otherwise(last["amount"]).alias("amount"),
+            (last["bids"] + counts.cast("bigint")).alias("bids"), (last["rejected"] + (~counts).cast("bigint")).alias("rejected"),
+        ).cast(PERIOD)
+        before = F.slice(periods, F.lit(1), F.greatest(F.size(periods) - 1, F.lit(0)))
+        new = F.coalesce(bid["ts"] >= last["last_bid"] + length, F.lit(True))
+        return F.when(new, F.concat(periods, F.array(opened))).otherwise(F.concat(before, F.array(raised))).cast(f"array<{PERIOD}>")
+
+    return F.aggregate(F.array_sort(bids), F.array().cast(f"array<{PERIOD}>"), take)
+
+
+def bid_clock(
+    bids: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("listing_id",), gap: str = "10 days", amount: str = "amount",
+    percent: float = 5, least_raise: float = 750,
+) -> DataFrame:
+    """Upset-bid periods: each accepted bid restarts the clock; the period ends when it runs out.
+
+    A bid must raise the last accepted one by 5% and by $750 at least; others are counted as rejected and change nothing. Follows the
+    written rule rather than any code. Bids without a gap between them are gathered first, by session windows in which every bid
+    restarts the clock: no period spans two of these, and as a stream they close by the watermark, so bids may come late and in
+    any order. Inside one, the few bids of a listing are taken in order (ties: lower amount first). Bids without a time or an amount are
+    left out.
     """
-    return (
-        bids.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, gap).groupBy(*keys, F.session_window(ts, gap).alias("w"))
-        .agg(F.count(F.lit(1)).alias("bids"), F.max("amount").alias("high_bid"))
-        .select(*keys, F.col("w.start").alias("first_bid"), F.col("w.end").alias("closes"), "bids", "high_bid")
+    moment, value = F.col(ts).cast("timestamp"), F.col(amount).cast("double")
+    given = bids.select(*keys, moment.alias("_ts"), value.alias("_amount")).where("_ts is not null and _amount is not null")
+    near = given.withWatermark("_ts", gap).groupBy(*keys, F.session_window("_ts", gap).alias("w"))
+    taken = near.agg(F.collect_list(F.struct(F.col("_ts").alias("ts"), F.col("_amount").alias("amount"))).alias("taken"))
+    periods = taken.select(*keys, F.explode(bid_periods(F.col("taken"), gap, percent, least_raise)).alias("p"))
+    return periods.select(
+        *keys, F.col("p.first_bid").alias("first_bid"), (F.col("p.last_bid") + F.expr(f"interval {gap}")).alias("closes"),
+        F.col("p.bids").alias("bids"), F.col("p.rejected").alias("rejected"), F.col("p.amount").alias("high_bid"),
     )

@@ -1,12 +1,15 @@
 """The stored table under repeated and interrupted batches."""
 
 import os
-from datetime import date
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
 
 from auctionlake.operators.upsert import upsert
 from auctionlake.schema import SIGHTING_COLUMNS, struct
 from auctionlake.shared import new_folder
-from auctionlake.streaming import stream
+from auctionlake.streaming import pull, stream
 from auctionlake.streaming.store import read_table, snapshots, write_table
 
 TODAY = date(2026, 3, 1)
@@ -60,3 +63,52 @@ def test_stream_resumes(spark):
         for _ in range(2):
             stream.stream_upsert(rows, root, mark, today=TODAY).awaitTermination()
     assert read_table(spark, root).first()["seen_count"] == 2
+
+
+def notices(spark, *rows):
+    return spark.createDataFrame([(i, date.fromisoformat(d)) for i, d in rows], "id string, date_start date")
+
+
+def test_pull_reads_late_notices_and_survives_a_failed_run(spark):
+    root = new_folder(spark, "pulls")
+    first = notices(spark, ("a", "2026-01-01"), ("b", "2026-02-27"), ("old", "2025-06-01"), (None, "2026-02-27"), ("b", "2026-02-27"))
+    assert pull.pulled(spark, root) is None and pull.last_mark(spark, root) == (-1, None)
+    assert pull.pull(first, root, TODAY) == 0 and pull.last_mark(spark, root) == (0, TODAY)
+    late = first.union(notices(spark, ("late", "2026-02-25"), ("c", "2026-03-02"), ("gone", "2026-02-01")))
+    broken = late.withColumn("date_start", F.when(F.col("id") == "c", F.raise_error(F.lit("cut off")).cast("date")).otherwise(F.col("date_start")))
+    with pytest.raises(Exception, match="cut off"):
+        pull.pull(broken, root, date(2026, 3, 3))
+    late.write.mode("overwrite").parquet(f"{root}/rows/run=1")  # rows stored, the mark not
+    assert pull.last_mark(spark, root) == (0, TODAY) and sorted(r.id for r in pull.pulled(spark, root).collect()) == ["a", "b"]
+    assert pull.pull(late, root, date(2026, 3, 3)) == 1
+    got = {r.id: r.run for r in pull.pulled(spark, root).collect()}
+    assert got == {"a": 0, "b": 0, "late": 1, "c": 1}
+    # After a long pause the window starts at the mark, not a week back.
+    assert pull.pull(notices(spark, ("d", "2026-03-04"), ("e", "2026-04-30")), root, date(2026, 5, 1)) == 2
+    assert pull.pulled(spark, root).where("run = 2").count() == 2
+
+
+BIDS = [  # day, amount, accepted
+    (0, 10_000, True), (2, 10_700, False), (3, 10_750, True), (12.9, 11_400, False), (12.95, 11_500, True), (14, 20_000, True),
+    (15, 20_900, False), (23, 21_000, True), (33, 100, True), (60, 100, True),
+]
+
+
+def test_bids_under_the_least_raise_do_not_restart_the_clock(spark):
+    start = datetime(2026, 1, 1)
+    at = lambda day: start + timedelta(days=day)
+    rows = [("x", at(d), float(a)) for d, a, _ in BIDS] + [("y", at(1), 5.0), ("y", at(9), 700.0), ("y", at(10.5), 5.0), ("y", None, 1.0), ("y", at(2), None)]
+    want = {
+        ("x", at(0), at(33), 5, 3, 21_000.0), ("x", at(33), at(43), 1, 0, 100.0), ("x", at(60), at(70), 1, 0, 100.0),
+        ("y", at(1), at(11), 1, 2, 5.0),
+    }
+    shape = "listing_id string, ts timestamp, amount double"
+    assert {tuple(r) for r in stream.bid_clock(spark.createDataFrame(rows, shape)).collect()} == want
+    landing, out, mark = (new_folder(spark, n) for n in ("bids", "periods", "mark"))
+    order = [r for r in rows if r[1]]
+    batches = [order[1:5:2], order[0:5:2], order[5:], [("z", at(200), 1.0)], [("z", at(201), 1.0)]]  # bids also come before earlier ones
+    for part in batches:
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(landing)
+        bids = stream.stream_files(spark, landing, spark.read.parquet(landing).schema)
+        stream.write_stream(stream.bid_clock(bids), out, mark).awaitTermination()
+    assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
