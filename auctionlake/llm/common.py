@@ -22,6 +22,21 @@ def crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
+def text_key(ident: Column, text: Column) -> Column:
+    """128 bits of a row's id and whole text, as text: what tells rows apart where ids are null or repeat. Null differs from empty."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.substring(F.sha2(F.concat(part(ident), F.lit("\n"), part(text)), 256), 1, 32)
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of this session hold ``most`` bytes at most, so that whole texts fit in small executors; a lower limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = lambda text: spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(text))
+    now = spark.conf.get(name, "64m")
+    if size(now) <= 0 or size(now) > size(most):
+        spark.conf.set(name, most)
+
+
 def fold(text: Column) -> Column:
     """Letters A-Z in lower case, all others as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, crc32, staged
+from .common import BLANKS, staged, text_key
 
 FILTER_BITS = 23  #: the shingle filter has 2^23 bits (1 MB) whatever the benchmark's size
 BLOCKS, BLOCK_BITS = 4, 16
@@ -80,20 +80,20 @@ def _of_width(docs: DataFrame, items: DataFrame, n_items: int, width: int, perce
     present = shingle_filter(listed)
     bit = lambda p: F.getbit(F.get(present, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
     reach = listed.agg(F.max("k").alias("k")).first()["k"]  # shingles of the longest item, less one
-    split = docs.select("doc_id", "text_crc32", word_array(F.col("text")).alias("words"))
-    hashed = split.select("doc_id", "text_crc32", shingle_hashes(F.col("words"), width).alias("hs"))
-    hits = hashed.select("doc_id", "text_crc32", "hs", F.posexplode_outer("hs").alias("at", "h")).where(bit(places(F.col("h"))[0]) & bit(places(F.col("h"))[1]))
+    split = docs.select("doc_id", "text_key", word_array(F.col("text")).alias("words"))
+    hashed = split.select("doc_id", "text_key", shingle_hashes(F.col("words"), width).alias("hs"))
+    hits = hashed.select("doc_id", "text_key", "hs", F.posexplode_outer("hs").alias("at", "h")).where(bit(places(F.col("h"))[0]) & bit(places(F.col("h"))[1]))
     first = F.greatest(F.col("at") - reach, F.lit(0))
     near = hits.select(
-        "doc_id", "text_crc32", "at", "h", F.size("hs").alias("many"), first.alias("first"), F.slice("hs", first + 1, F.lit(2 * reach + 1)).alias("near")
+        "doc_id", "text_key", "at", "h", F.size("hs").alias("many"), first.alias("first"), F.slice("hs", first + 1, F.lit(2 * reach + 1)).alias("near")
     )
 
     # windows of an item's size, laid where a shingle of the item stands at its place in the item
     aligned = near.join(listed.select("h", "size", "k").distinct(), "h")
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("k"), F.col("many") - (F.col("size") - width + 1)))
-    windows = aligned.withColumn("start", start).dropDuplicates(["doc_id", "text_crc32", "size", "start"])
+    windows = aligned.withColumn("start", start).dropDuplicates(["text_key", "size", "start"])
     windows = staged(windows.select(
-        "doc_id", "text_crc32", F.xxhash64("doc_id", "text_crc32").alias("uid"), "size", "start",
+        "doc_id", F.col("text_key").alias("uid"), "size", "start",
         F.array_distinct(F.slice("near", F.col("start") - F.col("first") + 1, F.col("size") - width + 1)).alias("hs"),
     ), "found")
     inside = windows.select("uid", "start", "size", F.explode("hs").alias("h"))
@@ -117,8 +117,8 @@ def _of_width(docs: DataFrame, items: DataFrame, n_items: int, width: int, perce
     union = F.col("of_window") + F.col("of_item") - F.col("both")
     alike = sized.where(100 * F.col("both") >= percent * union).select("uid", "item_id", "start", "size", F.floor(1000 * F.col("both") / union).cast("bigint").alias("similarity"))
     best = alike.groupBy("uid", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size")).alias("b"))
-    return best.join(windows.select("uid", "doc_id", "text_crc32").distinct(), "uid").select(
-        "doc_id", "text_crc32", "item_id", (-F.col("b.back")).cast("bigint").alias("start_word"), F.col("b.size").cast("bigint").alias("n_words"),
+    return best.join(windows.select("uid", "doc_id").distinct(), "uid").select(
+        "doc_id", F.col("uid").alias("text_key"), "item_id", (-F.col("b.back")).cast("bigint").alias("start_word"), F.col("b.size").cast("bigint").alias("n_words"),
         F.col("b.similarity").alias("similarity"),
     )
 
@@ -127,7 +127,7 @@ def matches(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
     item_text_col: str = "text", width: int = 5, percent: int = 80, radius: int = 19,
 ) -> DataFrame:
-    """(doc_id, text_crc32, item_id, start_word, n_words, similarity): the best window of each document for each item whose
+    """(doc_id, text_key, item_id, start_word, n_words, similarity): the best window of each document for each item whose
     weighted shingle similarity with it is ``percent`` or more; similarity in thousandths.
 
     Whole texts are hashed in one scan, where a filter of fixed size lets through places that may hold a benchmark
@@ -136,7 +136,7 @@ def matches(
     once in two thousand. Null, empty and blank texts match nothing; rows that repeat an id and a text are listed once, repeated
     items each; null ids stay null; other columns are not read; an empty side gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), crc32(F.col(text_col)).alias("text_crc32"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(id_col), F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     split = items.select(F.col(item_id_col).alias("item_id"), word_array(F.col(item_text_col)).alias("words")).where("size(words) > 0")
     counts = split.groupBy(F.least(F.size("words"), F.lit(width)).alias("width")).agg(F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in counts)
@@ -145,14 +145,15 @@ def matches(
         for r in sorted(counts)
     ]
     if not found:
-        return source.where("false").selectExpr("doc_id", "text_crc32", "0L item_id", "0L start_word", "0L n_words", "0L similarity")
+        return source.where("false").selectExpr("doc_id", "text_key", "0L item_id", "0L start_word", "0L n_words", "0L similarity")
     return reduce(DataFrame.unionByName, found)
 
 
 def clean(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a match, their columns as they were."""
-    hit = found.select(F.col("doc_id").alias("_hit_id"), F.col("text_crc32").alias("_hit_crc32")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]) & (crc32(docs[text_col]) == hit["_hit_crc32"]), "left_anti")
+    """The documents without a match, their columns as they were. A match removes the rows of its id and its whole text, told
+    by 128 bits of both, never other texts under that id or other rows without one."""
+    hit = found.select(F.col("text_key").alias("_hit")).distinct()
+    return docs.join(hit, text_key(docs[id_col], docs[text_col]) == hit["_hit"], "left_anti")
 
 
 #: The same rows without fingerprints: every aligned window compared exactly.

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32
+from .common import bounded_batches, crc32
 
 #: Language families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -153,6 +153,7 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "
     Learns from the labelled rows of ``train_on`` (``docs`` unless given) that are not held out. Null and letterless texts get
     ``und``; so does every row if nothing is labelled. Repeated rows and null ids are predicted like others.
     """
+    bounded_batches(docs.sparkSession)
     own = train_on if train_on is not None else docs
     rows = own.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     predict = predictor(train(rows))
@@ -172,6 +173,7 @@ def lowest_score(held: DataFrame, predict, lost: float = 0.002, slack: float = 0
 def recognised(docs: DataFrame, lowest: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows, with the columns as they were, whose language is known with at least the score ``lowest``, which is calibrated on the
     labelled rows kept from training (``lowest_score``) unless given."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kept = held_out(F.col("doc_id"))
     predict = predictor(train(rows.where(~kept)))

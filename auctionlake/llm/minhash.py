@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged, text_key
 from .components import components
 
 #: Odd multipliers of the shingle hash.
@@ -20,11 +20,14 @@ MIX = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], n
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, each computed once per worker; starts again from empty at ``kept`` words."""
+    """64-bit hashes of words, each computed once per worker; starts again from empty at ``kept`` words. Long words are not kept,
+    so that the table holds some 20 MB at most."""
 
-    kept = 500_000
+    kept, longest = 120_000, 40
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > self.longest:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) >= self.kept:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -80,12 +83,12 @@ def minima(found: np.ndarray, many: int, seed: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(doc_id, n, cls, bands, sig): set size, class of equal sets, band keys, and one byte of each minimum."""
+    """(doc_id, row_key, n, cls, bands, sig): set size, class of equal sets, band keys, and one byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, classes, keys, sigs = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 found = shingles(text.as_py(), width)
                 least = minima(found, bands * rows, seed)
                 sizes.append(len(found))
@@ -94,11 +97,11 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) ->
                 keys.append([xxhash.xxh3_64_intdigest(tops[k * rows:(k + 1) * rows].tobytes(), k) - (1 << 63) for k in range(bands)] if len(found) else [])
                 sigs.append((tops & 0xFF).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n", "cls", "bands", "sig"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["doc_id", "row_key", "n", "cls", "bands", "sig"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, bands array<bigint>, sig binary")
+    return docs.mapInArrow(run, "doc_id bigint, row_key string, n bigint, cls bigint, bands array<bigint>, sig binary")
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -124,14 +127,14 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int, least: float)
 
 def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(cls, found): the whole shingle sets of the classes wanted, computed again from one member's text."""
-    ids = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("doc_id").distinct()
+    keys = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("row_key").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py(), width) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cls", "found"])
 
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "cls bigint, found binary")
+    return docs.join(keys, "row_key", "left_semi").select("doc_id", "text").mapInArrow(sets, "cls bigint, found binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -236,7 +239,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85,
     bands: int = 30, rows: int = 6, seed: int = 11, slack: float = 0.15,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, row_key, first) of every row.
 
     Documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more; a pair at
     exactly 0.85 misses all of 30 bands of 6 minima with probability 7e-7. Documents with equal sets are one class; classes
@@ -244,16 +247,22 @@ def near_duplicates(
     threshold, over five standard errors) and by full sets, and joined to components. Then the pairs of a bucket that are
     still in different components are checked in the same way, so no link between components is lost.
 
+    Two more columns follow: ``row_key``, 128 bits of the id and the text, and ``first``, true for the row that stands for its
+    component: that of least id (nulls last), then of least key. Rows that repeat an id and a text share both.
+
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat an id and a text are listed as often
-    and share a component. A null id is linked through equal sets only, and is kept if no id is in its component. Other columns
-    are not read; no rows give no rows.
+    and share a component. A null id is linked like any other; component_id is null where no row of the component has an id, and
+    such rows are all kept (``first`` chooses one). Other columns are not read; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     least = percent / 100 - slack
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    ident, text = F.col(id_col).cast("bigint"), F.col(text_col).cast("string")
+    source = docs.select(ident.alias("doc_id"), text_key(ident, text).alias("row_key"), text.cast("binary").alias("text"))
     signed = staged(signatures(source, width, bands, rows, seed), "signatures")
-    heads = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("head"))
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
+    heads = signed.where("n > 0").groupBy("cls").agg(F.min(lead).alias("lead"))
     classes = staged(
-        signed.join(heads, "cls").where(F.col("doc_id") == F.col("head")).select("cls", "doc_id", "n", "bands", "sig").dropDuplicates(["cls"]),
+        signed.join(heads, "cls").where(F.col("row_key") == F.col("lead.row_key")).select("cls", "lead", "row_key", "n", "bands", "sig").dropDuplicates(["cls"]),
         "classes",
     )
     every = classes.select("cls", F.explode("bands").alias("key"))
@@ -264,12 +273,15 @@ def near_duplicates(
     labels = staged(components(links), "labels")
     more = staged(crossing(buckets.select("key", "cls"), labels, classes, source, width, percent, least), "links")
     labels = components(links.union(more))
-    named = classes.select(F.col("cls"), "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = named.join(ids, "component").select(F.col("cls").alias("own"), "component_id")
-    full = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("own")).join(names, "own", "left")
+    named = classes.select("cls", "lead").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = named.select("cls", "lead", F.coalesce("component", "cls").alias("component"))
+    leads = named.groupBy("component").agg(F.min("lead").alias("lead"))
+    names = named.select("cls", "component").join(leads, "component").select(
+        F.col("cls").alias("own"), F.col("lead.doc_id").alias("component_id"), F.col("lead.row_key").alias("lead_key")
+    )
+    full = signed.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("own")).join(names, "own", "left")
+    component = F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "row_key", F.coalesce(F.col("row_key") == F.col("lead_key"), F.lit(True)).alias("first"),
     )
