@@ -29,6 +29,13 @@ def code(dim: int, blocks: int, words: int, seed: int) -> tuple[np.ndarray, list
     return turn, parts
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows in double precision and of length one, first scaled by their largest number against overflow."""
+    m = rows.astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def filters(unit: np.ndarray, blocks: int, words: int, bound: float, seed: int) -> list[np.ndarray]:
     """For each unit vector the ascending numbers of all filter directions whose inner product with it is ``bound`` or more.
 
@@ -59,14 +66,9 @@ def cap(dim: int, directions: int, expected: float) -> float:
     return NormalDist().inv_cdf(1 - min(0.5, expected / directions)) / np.sqrt(dim)
 
 
-@lru_cache(maxsize=16)
-def chosen(dim: int, blocks: int, words: int, expected: float, least: float, miss: float, seed: int, pairs: int = 3000) -> tuple[float, int]:
-    """(bound, codes): the bound that random vectors reach for ``expected`` directions of a code on average, and how many codes
-    with rotations of their own are needed until two vectors at cosine ``least`` share no filter with chance ``miss`` at most.
-
-    Both are measured with ``filters`` itself on random pairs. A code's rotation is uniform, so any pair of that cosine is
-    missed by a code as often as these are, whatever the data; codes are independent, so their chances multiply.
-    """
+def _missed(dim: int, blocks: int, words: int, expected: float, least: float, seed: int, pairs: int) -> tuple[float, float]:
+    """(bound, share of pairs at cosine ``least`` that no filter of one code holds together), measured with ``filters`` on random
+    pairs over several codes; of the share the upper end of what so many pairs can tell."""
     rng = np.random.default_rng((seed, dim, words))
     x, turn = (rng.standard_normal((pairs, dim)) for _ in range(2))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -76,34 +78,52 @@ def chosen(dim: int, blocks: int, words: int, expected: float, least: float, mis
     bound = cap(dim, words**blocks, expected)
     while bound > 1e-3 and np.mean([len(f) for f in filters(x[:500], blocks, words, bound, seed)]) < expected:
         bound *= 0.98
-    missed, parts = 0, 6  # several codes, so that the figure is not that of one
-    for k, at in enumerate(np.array_split(np.arange(pairs), parts)):
+    missed = 0
+    for k, at in enumerate(np.array_split(np.arange(pairs), 10)):
         sides = (filters(side[at], blocks, words, bound, seed + 1000 + k) for side in (x, y))
         missed += sum(len(np.intersect1d(a, b, assume_unique=True)) == 0 for a, b in zip(*sides, strict=True))
-    high = (missed + 2 * np.sqrt(missed) + 2) / pairs  # the upper end of what so many pairs can tell
-    return float(bound), max(1, int(np.ceil(np.log(miss) / np.log(min(0.9, high)))))
+    return float(bound), min(0.95, (missed + 2 * np.sqrt(missed) + 2) / pairs)
+
+
+@lru_cache(maxsize=16)
+def chosen(dim: int, blocks: int, share: float, least: float, miss: float, seed: int, pairs: int = 2000) -> tuple[int, float, int]:
+    """(words, bound, codes) with the fewest caps a vector, such that a cap holds about ``share`` of all vectors and two vectors at
+    cosine ``least`` have no cap in common with chance ``miss`` at most.
+
+    A code's rotation is uniform, so any pair of that cosine is missed by a code as often as random ones are, whatever the
+    data; codes are independent, so their chances multiply. Many codes with few caps each come near independent directions and need
+    far fewer caps than few codes with many, whose directions share block words.
+    """
+    best: tuple[float, int, float, int] | None = None
+    for expected in (2, 3, 4, 6, 8, 12):
+        words = max(2, int(np.ceil((expected / share) ** (1 / blocks))))
+        bound, missed = _missed(dim, blocks, words, expected, least, seed, pairs)
+        codes = max(1, int(np.ceil(np.log(miss) / np.log(missed))))
+        if best is None or expected * codes < best[0]:
+            best = expected * codes, words, bound, codes
+    return best[1:]
 
 
 def near_vectors(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
-    expected: float = 48.0, blocks: int = 2, fill: int = 100, seed: int = 5, block: int = 512,
-    miss: float = 0.001,
+    blocks: int = 2, fill: int = 100, seed: int = 5, block: int = 512, miss: float = 0.001,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Rows are linked if their labels are equal and their cosine in double precision is ``least`` or more. Equal vectors of a label
     are one class that goes on alone with its number of rows. Each class is decoded to all filters whose cap it lies
-    in, about ``expected`` of each code; a code grows with the largest label so that a filter holds about ``fill`` classes of it. Near
-    vectors share fewer caps of larger codes, so there are as many independent codes as bring the chance that a pair at
-    cosine ``least`` shares none down to ``miss``, whatever the label's size (``chosen``). Classes meet in
+    in; directions grow with the largest label so that a cap holds about ``fill`` classes of it (an eighth of a small label). Near
+    vectors share fewer caps when caps are smaller, so the number of directions follows from the wanted ``miss`` and the share of a
+    cap (``chosen``): about 20 caps a vector for small labels, 35 for labels of a million. Classes meet in
     the filters they share, larger ones cut into blocks of which each two meet in a task of their own, and each pair is
-    checked in the first filter both share. Tasks return counts per class and the links that join components, not
-    pairs.
+    checked in the first filter both share. Vectors travel as they are stored and are widened to doubles where they meet. Tasks
+    return counts per class and the links that join components, not pairs.
 
     Vectors that are null, zero or hold null or non-finite numbers, and rows without a label or id, link with nothing and are kept.
     Rows that repeat an id count as vectors of their own. Other columns are not read; no rows give no rows.
     """
-    vector = F.col(vector_col).cast("array<double>")
+    kind = "array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    vector = F.col(vector_col).cast(kind)
     good = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     taken = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), vector.alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
     keyed = taken.withColumn("cls", F.when(F.col("good"), F.xxhash64("label", "v")))
@@ -112,42 +132,37 @@ def near_vectors(
         "vectors",
     )
     largest = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    words = int(np.ceil(max(expected * 8, largest * expected / fill) ** (1 / blocks)))
-    plans = {r["dim"]: chosen(r["dim"], blocks, words, expected, least, miss, seed) for r in classes.select("dim").distinct().collect()}
+    share = min(1 / 8, fill / largest)
+    plans = {r["dim"]: chosen(r["dim"], blocks, share, least, miss, seed) for r in classes.select("dim").distinct().collect()}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).to_pylist()
-            names: list[np.ndarray] = [np.empty(0, np.int64)] * len(x)
-            dims = np.asarray([len(v) for v in x])
+            dims = batch.column(2).to_numpy(zero_copy_only=False)
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            first = np.cumsum(dims) - dims
+            names: list[np.ndarray] = [np.empty(0, np.int64)] * len(dims)
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                m = np.asarray([x[i] for i in own], float)
-                m /= np.abs(m).max(axis=1, keepdims=True)
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
-                bound, codes = plans[int(dim)]
+                m = unit(values[first[own][:, None] + np.arange(dim)])
+                words, bound, codes = plans[int(dim)]
                 of_code = [filters(m, blocks, words, bound, seed + k) for k in range(codes)]
                 for i, *found in zip(own, *of_code, strict=True):
                     names[i] = np.concatenate([f + k * words**blocks for k, f in enumerate(found)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.list_(pa.int64()))], ["cls", "label", "v", "dim", "copies", "names"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.int64()))], ["cls", "names"])
 
-    decoded = staged(
-        classes.select("cls", "label", "v", "dim", "copies").mapInArrow(decode, "cls bigint, label string, v array<double>, dim int, copies bigint, names array<bigint>"),
-        "caps",
-    )
-    members = decoded.select("cls", "label", "dim", F.explode("names").alias("name"))
+    names = staged(classes.select("cls", "v", "dim").mapInArrow(decode, "cls bigint, names array<bigint>"), "caps")
+    traits = classes.select("cls", "label", "dim", "v", "copies").join(names, "cls")
+    members = classes.select("cls", "label", "dim").join(names, "cls").select("cls", "label", "dim", F.explode("names").alias("name"))
     many = members.groupBy("label", "dim", "name").agg(F.count("*").alias("many")).where("many > 1")
     cut = members.join(many, ["label", "dim", "name"]).withColumn("blocks", F.ceil(F.col("many") / block)).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("cls", "name", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    met = dealt.join(decoded.select("cls", "label", "dim", "v", "copies", "names"), "cls").withColumn("names", F.filter("names", lambda x: x < F.col("name")))
+    met = dealt.join(traits, "cls").withColumn("names", F.filter("names", lambda x: x < F.col("name")))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         own, cls, copies = (group[c].to_numpy() for c in ("own", "cls", "copies"))
         low, high = (group[c].iloc[0] for c in ("low", "high"))
-        m = np.stack(group["v"].to_list())
-        m = m / np.abs(m).max(axis=1, keepdims=True)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        m = unit(np.stack(group["v"].to_list()))
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         hit = m[left] @ m[right].T >= least
         if low == high:

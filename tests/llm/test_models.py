@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -72,11 +73,28 @@ def test_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(frame.where("false")).count() == 0
 
 
+def test_recall_at_exactly_the_least_cosine_in_one_large_label(spark, tmp_path):
+    """3,000 pairs at cosine 0.93 (and a hair) in a label of 30,000, through ``near_vectors`` itself."""
+    rng = np.random.default_rng(11)
+    x, side, rest = (rng.standard_normal((n, 64)) for n in (3000, 3000, 24_000))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.930001 * x + (1 - 0.930001**2) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    every = np.vstack([x, y, rest]).astype(np.float32)
+    pd.DataFrame({"vec_id": range(len(every)), "embedding": list(every), "label": 1}).to_parquet(tmp_path / "vectors.parquet")
+    frame = spark.read.parquet(str(tmp_path / "vectors.parquet"))
+    assert frame.dtypes[1] == ("embedding", "array<float>")
+    wide = every.astype(float)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    true = int(((wide[:3000] * wide[3000:6000]).sum(axis=1) >= 0.93).sum())
+    found = embeddings.near_vectors(frame).where("vec_id < 3000 and n_links > 0 and component_id = vec_id").count()
+    assert true > 2900 and 0.998 * true <= found <= true
+
+
 @pytest.mark.parametrize("largest", [218, 100_000, 1_000_000])
 def test_recall_does_not_fall_with_the_label(largest):
-    expected, fill, least, blocks = 48.0, 100, 0.93, 2
-    words = int(np.ceil(max(expected * 8, largest * expected / fill) ** (1 / blocks)))
-    bound, codes = embeddings.chosen(64, blocks, words, expected, least, 0.001, 5)
+    least, blocks = 0.93, 2
+    words, bound, codes = embeddings.chosen(64, blocks, min(1 / 8, 100 / largest), least, 0.001, 5)
     rng = np.random.default_rng(largest)
     x, side = (rng.standard_normal((4000, 64)) for _ in range(2))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
