@@ -2,74 +2,99 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of licence notices, normalised (letters and digits, single blanks). A sentence's number is its place.
-SENTENCES = (
-    "released under the mit license",
-    "licensed under the mit license",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "the software is provided as is without warranty of any kind express or implied",
-    "licensed under the apache license version 2 0",
-    "licensed under the apache license version 2 0 the license",
-    "you may not use this file except in compliance with the license",
-    "you may obtain a copy of the license at",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "this work is licensed under the gnu general public license version 3",
-    "this work is licensed under the gnu general public license version 2",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "see the gnu general public license for more details",
-    "licensed under cc by nc 4 0",
-    "licensed under cc by 4 0",
-    "licensed under cc by sa 4 0",
-    "this work is licensed under a creative commons attribution 4 0 international license",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "all rights reserved",
-    "spdx license identifier mit",
-    "spdx license identifier apache 2 0",
-    "spdx license identifier gpl 3 0 only",
-    "spdx license identifier gpl 3 0 or later",
-    "spdx license identifier bsd 3 clause",
-)
-
-#: Rules in order: licence and the sentences that must follow one another; a rule takes its sentences away from later ones.
-RULES = (
-    ("MIT", (3, 4, 5)), ("MIT", (3, 4)), ("BSD-3-Clause", (21, 22, 23)), ("BSD-2-Clause", (21, 22)),
-    ("Apache-2.0", (7, 8, 9, 10)), ("Apache-2.0", (6, 8)), ("GPL-3.0-or-later", (13, 15, 16)), ("GPL-2.0-or-later", (14, 15, 16)),
-    ("MIT", (1,)), ("MIT", (2,)), ("MIT", (25,)), ("Apache-2.0", (6,)), ("Apache-2.0", (7,)), ("Apache-2.0", (26,)),
-    ("GPL-3.0-only", (11,)), ("GPL-3.0-only", (27,)), ("GPL-3.0-or-later", (13,)), ("GPL-3.0-or-later", (28,)), ("GPL-2.0-only", (12,)),
-    ("GPL-2.0-or-later", (14,)), ("CC-BY-NC-4.0", (17,)), ("CC-BY-4.0", (18,)), ("CC-BY-SA-4.0", (19,)), ("CC-BY-4.0", (20,)),
-    ("BSD-3-Clause", (29,)), ("LicenseRef-all-rights-reserved", (24,)),
-)
-
-#: Every sentence above has one of these; texts without them are not split.
+from auctionlake.functions.base import bind
+
+from .licence_texts import LINES, NOTICES, SPDX
+
+#: A sentence ends at a stop before a blank and at an empty line, also one that holds comment signs only; single line breaks do not end it.
+ENDS, BREAKS, SIGNS = r"[.!?]+\s+|\r?\n[^A-Za-z0-9\n]*\n", r"[\r\n]+", "[^a-z0-9]+"
+
+
+def plain(sentence: str) -> str:
+    return re.sub(SIGNS, " ", sentence.lower()).strip()
+
+
+def sentences_of(notice: str) -> tuple[str, ...]:
+    """A notice cut as texts are cut; single words, such as the numbers of a list, are left out."""
+    return tuple(s for s in map(plain, re.split(ENDS, notice)) if " " in s)
+
+
+def _tables() -> tuple[list[str], list[tuple[str, tuple[int, ...]]]]:
+    """Sentences by number (from 1), and rules in order: whole notices, long ones first, then beginnings that suffice, then lines.
+
+    Each notice counts as published, with its lines joined by paragraph, and all in one line, where paragraphs run together.
+    """
+    numbers: dict[str, int] = {}
+    number = lambda s: numbers.setdefault(s, len(numbers) + 1)
+    whole, begun = [], []
+    for licence, enough, text in NOTICES:
+        for form in (text, " ".join(text.split())):
+            ids = tuple(map(number, sentences_of(form)))
+            if len(ids) > 1 and (licence, ids) not in whole:
+                whole.append((licence, ids))
+            begun.append((licence, ids[:enough]))
+    short = [(licence, (number(plain(s)),)) for licence, s in LINES]
+    short += [(licence, (number(plain(f"SPDX-License-Identifier: {licence}")),)) for licence in SPDX]
+    rules = sorted(whole, key=lambda r: -len(r[1])) + sorted(begun, key=lambda r: -len(r[1])) + short
+    seen: set[tuple[int, ...]] = set()
+    kept = [r for r in rules if not (r[1] in seen or seen.add(r[1]))]
+    return list(numbers), kept
+
+
+#: A sentence's number is its place, from 1. A rule is a licence and the sentences that must follow one another, others left out.
+SENTENCES, RULES = _tables()
+
+#: Words of the longest sentence: no more lines than this can hold a known one.
+LONGEST = max(len(s.split()) for s in SENTENCES)
+
+#: Every rule's first sentence has one of these; texts without them are not split.
 CUES = ("licen", "permission", "reserved", "warrant", "redistribut")
-ENDS, SIGNS = r"[.!?;]+\s+|[\r\n]+", "[^a-z0-9]+"
 
 
 def marked(numbers: tuple[int, ...]) -> str:
-    return "".join(f"|{n}" for n in numbers) + "|"
+    return "".join(f"|{n}|" for n in numbers)
+
+
+def taken(numbers: tuple[int, ...]) -> str:
+    return "|-|" * len(numbers)
 
 
 def sentence_numbers(text: Column) -> Column:
-    """The number of each sentence of a text, 0 for unknown ones."""
+    """The numbers of a text's sentences in order, 0 for unknown ones.
+
+    Where a sentence is unknown as a whole, its longest known end that begins at a line break counts, and each line above it (which
+    had no stop) by itself; without such an end, each of its lines.
+    """
     known = F.create_map(*[F.lit(x) for k, s in enumerate(SENTENCES) for x in (s, k + 1)])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), SIGNS, " "))
-    return F.transform(F.split(text, ENDS), lambda s: F.coalesce(F.try_element_at(known, plain(s)), F.lit(0)))
+    of = lambda s: F.coalesce(F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), SIGNS, " "))), F.lit(0))
+
+    def by_lines(lines: Column) -> Column:
+        first = F.greatest(F.size(lines) - LONGEST + 1, F.lit(2))
+        end = lambda k: F.struct(k.alias("k"), of(F.array_join(F.slice(lines, k, F.lit(LONGEST)), " ")).alias("n"))
+        ends = F.transform(F.sequence(first, F.size(lines)), end)
+        above = lambda found: F.transform(F.slice(lines, F.lit(1), found[0]["k"] - 1), of)
+        best = lambda found: F.when(F.size(found) > 0, F.concat(above(found), F.array(found[0]["n"]))).otherwise(F.transform(lines, of))
+        return F.when(F.size(lines) < 2, F.array(F.lit(0))).otherwise(bind(F.filter(ends, lambda e: e["n"] > 0), best))
+
+    def numbers(s: Column) -> Column:
+        return bind(of(s), lambda n: F.when(n > 0, F.array(n)).otherwise(bind(F.split(s, BREAKS), by_lines)))
+
+    return F.flatten(F.transform(F.split(text, ENDS), numbers))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, licence, sentences, first_sentence): one row per rule that a whole text matches.
 
     ``sentences`` lists the known sentences in order, unknown ones left out; ``first_sentence`` is where (from 0, all sentences
-    counted) the first of the rule stands. Every row is scanned by itself: no shuffle, no limit, and a rule's repeats in a text
-    count once. Null, empty and unmatched texts give no rows; repeated rows are listed as often; a null id stays null.
+    counted) the first match of the rule begins. Rules go in order, and what one took no later one sees or bridges. Every row is
+    scanned by itself: no shuffle, no limit, and a rule's repeats in a text count once. Null, empty and unmatched texts give no
+    rows; repeated rows are listed as often; a null id stays null; no rows give no rows; texts are read whole, however long; other
+    columns are not read, whatever their names.
     """
     text = F.col(text_col).cast("string")
     low = F.lower(text)
@@ -77,37 +102,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for word in CUES:
         cue = cue | F.contains(low, F.lit(word))
     numbers = docs.where(cue).select(F.col(id_col).alias("doc_id"), sentence_numbers(text).alias("numbers"))
-    known = numbers.withColumn("seen", F.filter("numbers", lambda n: n > 0)).where(F.size("seen") > 0)
-    rules = F.array(*[F.struct(F.lit(k + 1).alias("rule"), F.lit(name).alias("licence"), F.lit(marked(ids)).alias("ids"), F.lit(ids[0]).alias("first")) for k, (name, ids) in enumerate(RULES)])
+    at = F.filter(F.sequence(F.lit(0), F.size("numbers") - 1), lambda k: F.get("numbers", k) > 0)
+    known = numbers.withColumn("at", at).where(F.size("at") > 0).withColumn("seen", F.filter("numbers", lambda n: n > 0))
+    rules = F.array(*[
+        F.struct(F.lit(k + 1).alias("rule"), F.lit(name).alias("licence"), F.lit(marked(ids)).alias("ids"), F.lit(taken(ids)).alias("off"), F.lit(0).alias("place"))
+        for k, (name, ids) in enumerate(RULES)
+    ])
     empty = F.filter(rules, lambda r: F.lit(False))
-    start = F.struct(F.concat(F.lit("|"), F.array_join(F.col("seen").cast("array<string>"), "|"), F.lit("|")).alias("left"), empty.alias("found"))
-    step = lambda acc, r: F.when(F.contains(acc["left"], r["ids"]), F.struct(
-        F.replace(acc["left"], r["ids"], F.lit("|")).alias("left"), F.array_append(acc["found"], r).alias("found"))).otherwise(acc)
-    found = known.select("doc_id", "numbers", "seen", F.explode(F.aggregate(rules, start, step)["found"]).alias("r"))
+    left = F.concat(F.lit("|"), F.array_join(F.col("seen").cast("array<string>"), "||"), F.lit("|"))
+    start = F.struct(left.alias("left"), empty.alias("found"))
+
+    def step(acc: Column, r: Column) -> Column:
+        head = F.split_part(acc["left"], r["ids"], F.lit(1))
+        place = F.floor((F.length(head) - F.length(F.replace(head, F.lit("|"), F.lit("")))) / 2).cast("int")
+        hit = F.struct(r["rule"].alias("rule"), r["licence"].alias("licence"), r["ids"].alias("ids"), r["off"].alias("off"), place.alias("place"))
+        gone = F.struct(F.replace(acc["left"], r["ids"], r["off"]).alias("left"), F.array_append(acc["found"], hit).alias("found"))
+        return F.when(F.contains(acc["left"], r["ids"]), gone).otherwise(acc)
+
+    found = known.select("doc_id", "at", "seen", F.explode(F.aggregate(rules, start, step)["found"]).alias("r"))
     return found.select(
         "doc_id", F.col("r.rule").alias("rule"), F.col("r.licence").alias("licence"), F.array_join(F.col("seen").cast("array<string>"), "|").alias("sentences"),
-        (F.array_position("numbers", F.col("r.first")) - 1).cast("bigint").alias("first_sentence"),
+        F.get("at", F.col("r.place")).cast("bigint").alias("first_sentence"),
     )
 
 
 def _sql() -> str:
     known = ", ".join(f"'{s}': {k + 1}" for k, s in enumerate(SENTENCES))
-    steps, last = [], "left0"
+    of = lambda s: f"coalesce(names[trim(regexp_replace(lower({s}), '{SIGNS}', ' ', 'g'))], 0)"
+    steps, last = [], "s0"
     for k, (_, ids) in enumerate(RULES):
-        steps.append(f"s{k + 1} AS (SELECT *, contains(left{k}, '{marked(ids)}') AS m{k + 1}, replace(left{k}, '{marked(ids)}', '|') AS left{k + 1} FROM s{k})")
+        steps.append(
+            f"s{k + 1} AS (SELECT doc_id, at_, seen, contains(left_, '{marked(ids)}') AS m{k + 1}, split_part(left_, '{marked(ids)}', 1) AS head{k + 1}, "
+            f"replace(left_, '{marked(ids)}', '{taken(ids)}') AS left_ {''.join(f', m{j}, head{j}' for j in range(1, k + 1))} FROM s{k})"
+        )
         last = f"s{k + 1}"
     rows = " UNION ALL ".join(
-        f"SELECT doc_id, {k + 1} AS rule, '{name}' AS licence, seen AS sentences, CAST(list_position(numbers, {ids[0]}) - 1 AS BIGINT) AS first_sentence FROM {last} WHERE m{k + 1}"
-        for k, (name, ids) in enumerate(RULES)
+        f"SELECT doc_id, {k + 1} AS rule, '{name}' AS licence, array_to_string(seen, '|') AS sentences, "
+        f"CAST(at_[1 + (length(head{k + 1}) - length(replace(head{k + 1}, '|', ''))) // 2] AS BIGINT) AS first_sentence FROM {last} WHERE m{k + 1}"
+        for k, (name, _) in enumerate(RULES)
     )
     return f"""
-WITH known AS (SELECT MAP {{{known}}} AS names), numbered AS (
-  SELECT doc_id, list_transform(string_split_regex(text, '{ENDS}'),
-    lambda s: coalesce(names[trim(regexp_replace(lower(s), '{SIGNS}', ' ', 'g'))], 0)) AS numbers
+WITH known AS (SELECT MAP {{{known}}} AS names), cut AS (
+  SELECT row_number() OVER () AS r, doc_id, names, unnest(string_split_regex(text, '{ENDS}')) AS s, unnest(range(len(string_split_regex(text, '{ENDS}')))) AS i
   FROM documents, known WHERE text IS NOT NULL
+), lined AS (SELECT *, {of("s")} AS n, string_split_regex(s, '{BREAKS}') AS lines FROM cut
+), ended AS (SELECT *, list_filter(list_transform(range(greatest(2, len(lines) - {LONGEST} + 1), len(lines) + 1),
+    lambda k: {{'k': k, 'n': {of("array_to_string(lines[k:], ' ')")}}}), lambda x: x.n > 0) AS ends FROM lined
+), told AS (SELECT r, doc_id, i, CASE WHEN n > 0 THEN [n] WHEN len(lines) < 2 THEN [0] 
+    WHEN len(ends) > 0 THEN list_append(list_transform(lines[1:ends[1].k - 1], lambda x: {of("x")}), ends[1].n)
+    ELSE list_transform(lines, lambda x: {of("x")}) END AS numbers FROM ended
+), numbered AS (SELECT doc_id, flatten(list(numbers ORDER BY i)) AS numbers FROM told GROUP BY r, doc_id
 ), s0 AS (
-  SELECT doc_id, numbers, list_aggregate(list_filter(numbers, lambda n: n > 0), 'string_agg', '|') AS seen, '|' || seen || '|' AS left0
-  FROM numbered WHERE len(list_filter(numbers, lambda n: n > 0)) > 0
+  SELECT doc_id, list_filter(range(len(numbers)), lambda k: numbers[k + 1] > 0) AS at_, list_filter(numbers, lambda n: n > 0) AS seen,
+    '|' || array_to_string(seen, '||') || '|' AS left_ FROM numbered WHERE len(list_filter(numbers, lambda n: n > 0)) > 0
 ), {', '.join(steps)}
 {rows}"""
 

@@ -1,9 +1,10 @@
 import math
+import textwrap
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from auctionlake.llm import decontaminate, licenses, urls
+from auctionlake.llm import decontaminate, licence_texts, licenses, urls
 
 
 def test_decontamination_finds_whole_and_nearly_whole_items(spark, odd):
@@ -32,19 +33,45 @@ def test_hamming_blocks_miss_nothing_within_the_radius(spark):
 
 
 def test_licence_rules_in_order(spark, odd):
-    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\nUnless"
-    docs = [(1, "Text. Released under the MIT License.\nMore."), (2, apache), (3, "SPDX-License-Identifier: MIT\nAll rights reserved."), (4, "no licence"), (5, None), (5, ""), (None, "ALL RIGHTS RESERVED")]
-    rows = licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    got = {(r.doc_id, r.licence): (r.sentences, r.first_sentence) for r in rows}
+    number = {x: k + 1 for k, x in enumerate(licenses.SENTENCES)}
+    mit, tag, kept = (number[x] for x in ("released under the mit license", "spdx license identifier mit", "all rights reserved"))
+    docs = [(1, "Text. Released under the MIT License.\nMore."), (3, "SPDX-License-Identifier: MIT\nAll rights reserved."), (4, "no licence"), (5, None), (5, ""), (None, "ALL RIGHTS RESERVED")]
+    frame = spark.createDataFrame([(*d, 0) for d in docs], "doc_id bigint, text string, numbers int")
+    got = {(r.doc_id, r.licence): (r.sentences, r.first_sentence) for r in licenses.scan(frame).collect()}
     assert got == {
-        (1, "MIT"): ("1", 1), (2, "Apache-2.0"): ("7|8|9", 0), (3, "MIT"): ("25|24", 0), (3, "LicenseRef-all-rights-reserved"): ("25|24", 1),
-        (None, "LicenseRef-all-rights-reserved"): ("24", 0)}
-    assert licenses.scan(odd).count() == 0
-
-
-def test_every_licence_sentence_is_normal_and_has_a_cue():
-    for s in licenses.SENTENCES:
-        assert any(c in s for c in licenses.CUES) and s == " ".join(s.split()) and all(c.isalnum() or c == " " for c in s)
+        (1, "MIT"): (str(mit), 1), (3, "MIT"): (f"{tag}|{kept}", 0), (3, "LicenseRef-all-rights-reserved"): (f"{tag}|{kept}", 1),
+        (None, "LicenseRef-all-rights-reserved"): (str(kept), 0)}
+    assert licenses.scan(odd).count() == 0 == licenses.scan(frame.where("false")).count()
+
+
+def test_every_licence_sentence_is_normal_and_every_rule_has_a_cue():
+    assert all(s == " ".join(s.split()) and all(c.isalnum() or c == " " for c in s) for s in licenses.SENTENCES)
+    for _, ids in licenses.RULES:
+        assert any(c in licenses.SENTENCES[n - 1] for n in ids for c in licenses.CUES)
+
+
+def test_genuine_notices_wrapped_and_unwrapped(spark):
+    """Every notice as published, by paragraph, in one line, as a comment, wrapped elsewhere, and behind a line without a stop."""
+    forms, want = [], []
+    for licence, _, text in licence_texts.NOTICES:
+        flat = "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        wrapped = "\n\n".join(textwrap.fill(p, 40) for p in flat.split("\n\n"))
+        comment = "\n".join(f" * {line}".rstrip() for line in text.split("\n"))
+        for form in (text, flat, " ".join(text.split()), comment, wrapped, "Copyright (c) 2020 Some Author\n" + text, text.replace("\n", "\r\n"), "word " * 50_000 + "\n" + text + "\nmore"):
+            forms.append((len(forms), form))
+            want.append(licence)
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(forms, "doc_id bigint, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.licence)
+    assert not [(want[k], forms[k][1][:60], got.get(k)) for k in range(len(forms)) if got.get(k) != {want[k]}]
+
+
+def test_rules_do_not_bridge_what_another_took(spark):
+    gpl = next(t for n, _, t in licence_texts.NOTICES if n == "GPL-3.0-or-later")
+    first, *rest = licenses.sentences_of(gpl)
+    text = f"{first}.\n\nReleased under the MIT License. {'. '.join(rest)}.\n\n{'. '.join([first, *rest])}."
+    got = {(r.licence, r.first_sentence) for r in licenses.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()}
+    assert got == {("GPL-3.0-or-later", 4), ("GPL-3.0-or-later", 0), ("MIT", 1)}
 
 
 def test_url_rules_and_parts(spark):
