@@ -37,8 +37,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, or null. Texts without a match, the usual case, are scanned once."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """The group of the first match, or null. The group must not match an empty text; the text is scanned once, match or not."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def first_found(text: Column, patterns) -> Column:

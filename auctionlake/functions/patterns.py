@@ -14,6 +14,8 @@ ACREAGE = (
     r"(?iU)tract\s+(?:no\.?\s*)?\d+[^,]+?([\d,]+(?:\.\d+)?)\s+acres?",
     r"(?iU)parcel\s+(?:no\.?\s*)?\d+[^,]+?([\d,]+(?:\.\d+)?)\s+acres?",
 )
+#: A word without which the wording of the same place cannot match, in lower case.
+ACREAGE_WORDS = ("approximate", "acre", "acre", "tract", "parcel")
 
 PIN = (
     r"(?iU)tax\s+parcel\s*#?\s*(\d{3,}-[\d–\-?]+)",
@@ -81,6 +83,12 @@ STREET_SUFFIX_WORDS = (
     r"(?i)\b(ST|STREET|AVE|AVENUE|BLVD|BOULEVARD|DR|DRIVE|ROAD|RD|LANE|LN|CIR|CIRCLE|WAY|COURT|CT)\b\.?"
 )
 
+ICAL_FIELD = r"(?m)^(?:%s)(?:;[^:\r\n]*)?:.*$"
+ICAL_CUSTOM = r'(?m)^X-TRUMBA-CUSTOMFIELD;NAME="%s";ID=(\d+);[^:\r\n]*?:(.*)$'
+ICAL_CONTINUED = r"(?m)^X-TRUMBA-CUSTOMFIELD;FIELDVALUE;ID=(\d+)\s*->\s*(.*)$"
+ICAL_CUSTOM_LINE = r"(?m)^X-TRUMBA-CUSTOMFIELD;(?:NAME|FIELDVALUE).*$"
+PIN_LINKS = (r"PINN=([\d-]+)", r"pid=([\d-]+)")
+EVENT_NUMBER = r"event/(\d+)"
 ICAL_STAMP = r"(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z?)"
 
 PARCEL_VIEWER = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auctionlake import dims
 from auctionlake.functions import patterns as P
 from auctionlake.functions.base import (
-    blank_to_null, col, contains_any, empty_to_null, first_found, found, strip, title_case, truthy,
+    bind, blank_to_null, col, contains_any, empty_to_null, first_found, found, strip, title_case, truthy,
 )
 
 
@@ -19,9 +19,14 @@ def _plausible_acres(text: Column, pattern: str) -> Column:
 
 
 def acreage(text: str | Column) -> Column:
-    """First plausible acreage; wordings are tried in order of trust."""
+    """First plausible acreage; wordings are tried in order of trust, each only on texts that hold its plain words."""
     text = col(text)
-    return F.coalesce(*[_plausible_acres(text, p) for p in P.ACREAGE])
+
+    def tried(low: Column) -> Column:
+        ways = [F.when(low.contains(word), _plausible_acres(text, p)) for p, word in zip(P.ACREAGE, P.ACREAGE_WORDS, strict=True)]
+        return F.when(low.contains("acre"), F.coalesce(*ways))
+
+    return bind(F.lower(text), tried)
 
 
 def normalise_pin(raw: str | Column) -> Column:
@@ -37,13 +42,14 @@ def pin(text: str | Column) -> Column:
 
 
 def deed_plat(text: str | Column) -> Column:
-    """Recording reference as one tagged string, such as ``Deed:Bk12Pg34`` or ``Plat:File5Pg6``."""
+    """Recording reference as one tagged string, such as ``Deed:Bk12Pg34`` or ``Plat:File5Pg6``. The text is scanned once for each
+    wording until one is found; its numbers are read from what matched."""
     text = col(text)
-    tagged = None
-    for p, tag, sep in P.DEED_PLAT:
-        value = F.concat(F.lit(tag), F.regexp_extract(text, p, 1), F.lit(sep), F.regexp_extract(text, p, 2))
-        tagged = F.when(text.rlike(p), value) if tagged is None else tagged.when(text.rlike(p), value)
-    return tagged
+
+    def tagged(p: str, tag: str, sep: str) -> Column:
+        return bind(found(text, p, 0), lambda m: F.concat(F.lit(tag), F.regexp_extract(m, p, 1), F.lit(sep), F.regexp_extract(m, p, 2)))
+
+    return F.coalesce(*[tagged(*wording) for wording in P.DEED_PLAT])
 
 
 def deed_only(reference: str | Column) -> Column:
@@ -62,10 +68,9 @@ def sp_case(text: str | Column, state: str = "NC") -> Column:
 def notice_county(text: str | Column, slug: str | Column | None = None) -> Column:
     """County a notice speaks of. Only the first upper-case ``X COUNTY`` counts, unless it is NORTH."""
     text = col(text)
-    upper = found(text, P.COUNTY_UPPER)
     ways = [
         found(text, P.COUNTY_OF),
-        F.when(upper != "NORTH", upper),
+        F.nullif(found(text, P.COUNTY_UPPER), F.lit("NORTH")),
         found(text, P.COUNTY_LATE_OF),
         found(text, P.COUNTY_COURT),
     ]
@@ -88,16 +93,15 @@ def notice_address(text: str | Column) -> Column:
 
 
 def _iso_date(text: Column, pattern: str) -> Column:
-    month = F.array_position(
-        F.array(*[F.lit(m.lower()) for m in P.MONTHS]), F.lower(F.substring(F.regexp_extract(text, pattern, 1), 1, 3))
-    )
-    iso = F.concat_ws(
-        "-",
-        F.regexp_extract(text, pattern, 3),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(F.regexp_extract(text, pattern, 2), 2, "0"),
-    )
-    return F.when(text.rlike(pattern), iso)
+    """Year, month and day of the first match, found by one scan of the text and read from what matched."""
+    months = F.array(*[F.lit(m.lower()) for m in P.MONTHS])
+
+    def iso(m: Column) -> Column:
+        month = F.array_position(months, F.lower(F.substring(F.regexp_extract(m, pattern, 1), 1, 3)))
+        day = F.lpad(F.regexp_extract(m, pattern, 2), 2, "0")
+        return F.when(m.isNotNull(), F.concat_ws("-", F.regexp_extract(m, pattern, 3), F.lpad(month.cast("string"), 2, "0"), day))
+
+    return bind(found(text, pattern, 0), iso)
 
 
 def auction_date(text: str | Column) -> Column:

@@ -197,7 +197,7 @@ _NEEDS = {
     "notices_v": ("dim_county_v",),
 }
 # Views whose rows are parsed at some cost.
-TEXT_VIEWS = ("notices_v", "texts_v", "feed_v")
+TEXT_VIEWS = {"notices_v": "nid", "texts_v": "tid", "feed_v": "rid"}
 TYPES = {"spark": "string", "duckdb": "varchar"}
 
 
@@ -223,7 +223,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = with_views((name,), "spark")
     for t in sorted(set(re.findall(r"\b(?:from|join)\s+(\w+)", text)) & set(TABLES)):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(f"{text} select * from {name}")
+    rows = spark.sql(f"{text} select * from {name}")
+    # One row group is one task, whatever the size of its texts: rows whose parsing costs more than their transport are dealt to all cores.
+    return rows.repartition(max(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism), TEXT_VIEWS[name]) if name in TEXT_VIEWS else rows
 
 
 def oracle(names: tuple[str, ...] | str, body: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auctionlake import dims
 from auctionlake.functions import patterns as P
 from auctionlake.functions.base import empty_to_null, filled, strip, truthy
-from auctionlake.functions.ical import ical_custom, ical_field, ical_ts, ical_unescape, pin_from_link, uid_to_id
+from auctionlake.functions.ical import entry_custom, entry_field, ical_entries, ical_ts, ical_unescape, pin_from_link, uid_to_id
 from auctionlake.functions.links import county_viewer_url, place_search, place_topo
 from auctionlake.functions.money import cents, city_state_zip, describe, dollars, last_bid, money_text, sale_date
 from auctionlake.functions.text import (
@@ -179,27 +179,21 @@ def normalise_tax_grid(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def normalise_ical(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Calendar events. Events without summary, location or description are dropped."""
-    block = F.col("block")
-    staged = exclude_redeemed(
-        df.withColumns(
-            {
-                "summary": ical_unescape(ical_field(block, "SUMMARY")),
-                "location": ical_unescape(ical_field(block, "LOCATION")),
-                "body": ical_unescape(ical_field(block, "DESCRIPTION")),
-                "begins": ical_ts(ical_field(block, "DTSTART")),
-                "ends": ical_ts(ical_field(block, "DTEND")),
-                "uid": ical_field(block, "UID"),
-                "link": ical_field(block, "X-TRUMBA-LINK"),
-                "event_type": ical_custom(block, "Event Type"),
-                "redeemed": ical_custom(block, "Redeemed"),
-                "case_number": ical_custom(block, "Case Number"),
-                "pin": pin_from_link(ical_custom(block, "PIN lookup")),
-                "kind": ical_custom(block, "Property Type"),
-                "fire_district": ical_custom(block, "Fire District"),
-                "bid_text": ical_custom(block, "Opening/Current Bid"),
-            }
-        ).where("summary is not null and location is not null and body is not null")
-    )
+    plain = {"summary": "SUMMARY", "location": "LOCATION", "body": "DESCRIPTION", "begins": "DTSTART", "ends": "DTEND", "uid": "UID", "link": "X-TRUMBA-LINK"}
+    custom = {
+        "event_type": "Event Type", "redeemed": "Redeemed", "case_number": "Case Number", "pin": "PIN lookup", "kind": "Property Type",
+        "fire_district": "Fire District", "bid_text": "Opening/Current Bid",
+    }
+    shaped = {"summary": ical_unescape, "location": ical_unescape, "body": ical_unescape, "begins": ical_ts, "ends": ical_ts, "pin": pin_from_link}
+
+    def fields(entries):
+        raw = {k: entry_field(entries, v) for k, v in plain.items()} | {k: entry_custom(entries, v) for k, v in custom.items()}
+        return F.struct(*[shaped.get(k, lambda x: x)(v).alias(k) for k, v in raw.items()])
+
+    # A generator: filters on the fields stay above it, so that no block is parsed once per condition.
+    parsed = F.inline(F.transform(F.array(ical_entries("block", tuple(plain.values()))), fields))
+    others = [c for c in df.columns if c not in (*plain, *custom)]
+    staged = exclude_redeemed(df.select(*others, parsed).where("summary is not null and location is not null and body is not null"))
     c = {n: F.col(n) for n in staged.columns}
     address = empty_to_null(c["location"])
     search = place_search(address, F.lit("Buncombe"))
