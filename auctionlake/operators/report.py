@@ -105,8 +105,8 @@ def same_case(df: DataFrame, listing_id: int) -> DataFrame:
 def navigation(df: DataFrame, category: str | None = None) -> DataFrame:
     """(id, previous_id, previous_address, next_id, next_address) of every active listing in dashboard order.
 
-    The order is cut by day, first sighting and id, so no task orders the whole table: a table holds
-    few thousand days, and ids are split in blocks of two million.
+    The order is cut by day, first sighting and id, so no task orders the whole table: days, which are texts of any number, are dealt
+    to tasks by ranges, and ids are split in blocks of two million. The ranges are stored when this is called.
     """
     rows = with_category(df.where(ACTIVE))
     if category in ("notice", "listing"):

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auctionlake.shared import stage
+
 BITS = 21
 
 
@@ -33,12 +35,48 @@ def long_levels(name: str, ascending: bool = True, bits: int = 63) -> list[tuple
     return levels[::-1]
 
 
+def in_ranges(df: DataFrame, by: Column) -> DataFrame:
+    """The rows dealt to tasks by ranges of a column and stored so, with the number ``_range`` of each; ranges ascend in ``by``'s order."""
+    return stage(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _link_ranges(df: DataFrame, name: str, ascending: bool, first: str, last: str) -> DataFrame:
+    """``_link`` over the whole table by one unique column: windows run inside ranges of it, and the first and last row of each range,
+    as many as there are tasks, are stitched on the driver."""
+    rows = in_ranges(df, F.col(name).asc() if ascending else F.col(name).desc())
+    front, back = (F.min_by, F.max_by) if ascending else (F.max_by, F.min_by)
+    ends = sorted(rows.groupBy("_range").agg(front(first, name).alias("f"), back(last, name).alias("l")).collect())
+    kind = f"struct<_range:int,_gprev:{rows.schema[last].dataType.simpleString()},_gnext:{rows.schema[first].dataType.simpleString()}>"
+    stitched = [(r["_range"], ends[k - 1]["l"] if k else None, ends[k + 1]["f"] if k + 1 < len(ends) else None) for k, r in enumerate(ends)]
+    outside = df.sparkSession.createDataFrame(stitched, kind)
+    w = Window.partitionBy("_range").orderBy(F.col(name).asc() if ascending else F.col(name).desc())
+    linked = rows.withColumns({"_prev": F.lag(last).over(w), "_next": F.lead(first).over(w)}).join(outside, "_range", "left")
+    return linked.withColumns({"_prev": F.coalesce("_prev", "_gprev"), "_next": F.coalesce("_next", "_gnext")}).drop("_gprev", "_gnext", "_range")
+
+
+def running_before(df: DataFrame, name: str, value: str, out: str) -> DataFrame:
+    """Each row with the sum of ``value`` over all rows before it in the order of the unique column ``name``: sums run inside ranges, whose
+    totals, as many as there are tasks, are added up on the driver."""
+    rows = in_ranges(df, F.col(name).asc_nulls_first())
+    before, totals = 0, []
+    for r in sorted(rows.groupBy("_range").agg(F.sum(value).alias("n")).collect()):
+        totals.append((r["_range"], before))
+        before += r["n"] or 0
+    offsets = df.sparkSession.createDataFrame(totals, "_range int, _offset bigint")
+    w = Window.partitionBy("_range").orderBy(F.col(name).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_inside", F.coalesce(F.sum(value).over(w), F.lit(0))).join(offsets, "_range").withColumn(
+        out, F.col("_inside") + F.col("_offset")
+    ).drop("_inside", "_offset", "_range")
+
+
 def _link(df: DataFrame, part: list[str], levels: list[tuple[str, bool]], first: str, last: str) -> DataFrame:
     """Adds ``_prev`` (last payload before the row) and ``_next`` (first payload after it)."""
     outer, (inner, ascending) = levels[:-1], levels[-1]
     group = part + [n for n, _ in outer]
     by = F.col(inner).asc() if ascending else F.col(inner).desc()
     w = Window.partitionBy(*group).orderBy(by)
+    if not group:
+        return _link_ranges(df, inner, ascending, first, last)
     linked = df.withColumns({"_prev": F.lag(last).over(w), "_next": F.lead(first).over(w)})
     if not outer:
         return linked

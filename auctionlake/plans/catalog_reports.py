@@ -22,6 +22,9 @@ TODAY = date(1998, 1, 1)
 LV, PV, FV, RV, SV, NV = "listings_v", "parcels_v", "feed_v", "runs_v", "sightings_v", "notices_v"
 DASH = "coalesce(initial_auction_date, last_seen) desc, first_seen desc, id desc"
 
+#: What sightings are one property's: the listing, or the address of those without one.
+ENTITY = "case when source_listing_id is null then address else concat(source, '|', source_listing_id) end"
+
 
 def _in(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
@@ -301,13 +304,13 @@ QUERIES = {
             select max(previous_id) filter (id = 100) as previous_id, max(next_id) filter (id = 100) as next_id from nav"""),
     ),
     "w6_change_events": (
-        _on(SV, lambda df: change_events(df.where("source_listing_id is not null"), ["source", "source_listing_id"])
-            .select("source", "source_listing_id", "ord", "price_cents", F.col("before.price_cents").alias("old_cents"))),
-        oracle(SV, """select source, source_listing_id, ord, price_cents, old_cents from (
+        _on(SV, lambda df: change_events(df.withColumn("entity", F.expr(ENTITY)), ["entity"])
+            .select("entity", "ord", "price_cents", F.col("before.price_cents").alias("old_cents"))),
+        oracle(SV, """select entity, ord, price_cents, old_cents from (
               select *, lag(price_cents) over w as old_cents, lag(auction_date) over w as old_date,
-                lag(upset_bid) over w as old_upset, row_number() over w as rn from sightings_v
-              where source_listing_id is not null
-              window w as (partition by source, source_listing_id order by ord))
+                lag(upset_bid) over w as old_upset, row_number() over w as rn
+              from (select *, case when source_listing_id is null then address else source || '|' || source_listing_id end as entity from sightings_v)
+              window w as (partition by entity order by ord))
             where rn > 1 and (price_cents <> old_cents or auction_date <> old_date or upset_bid <> old_upset)"""),
     ),
     # -- order and limits

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auctionlake import dims
 from auctionlake.operators import enrich as en
 from auctionlake.operators import filters as fl
 from auctionlake.operators import mutate
+from auctionlake.operators.sequence import running_before
 from auctionlake.operators.upsert import UpsertResult, upsert
 from auctionlake.sources import feeds, normalise as nz, notices as nt
 
@@ -50,11 +51,11 @@ def collect(spark: SparkSession, landing: Landing) -> DataFrame:
 def numbered(batch: DataFrame, order: tuple[str, str] = ("file", "pos")) -> DataFrame:
     """Batch with a unique arrival number ``ord``: files by name, each taking as many numbers as its highest position needs.
 
-    Only the list of file names is put in one sequence; the driver holds the same list to plan the scan.
+    File names are summed up in ranges (``running_before``), so no task holds them all.
     """
     file, pos = order
     sizes = batch.groupBy(file).agg((F.max(pos).cast("long") + 1).alias("_n"))
-    ranked = sizes.select(file, (F.sum("_n").over(Window.orderBy(file)) - F.col("_n")).alias("_first"))
+    ranked = running_before(sizes, file, "_n", "_first").drop("_n")
     return batch.join(ranked, file).withColumn("ord", F.col("_first") + F.col(pos)).drop("_first", file, pos)
 
 

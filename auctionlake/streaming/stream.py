@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from auctionlake.functions.base import truthy
 from auctionlake.operators.upsert import upsert
-from auctionlake.streaming.store import read_table, stored, write_table
+from auctionlake.streaming.store import read_table, stored, write_changes
 
 
 def stream_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", glob: str | None = None,
@@ -61,15 +61,15 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Fold arriving sightings into the property table under ``root``.
 
-    Every micro-batch folds into the newest snapshot and stores the next one, unless the store already holds that
-    batch, so a batch that runs twice has the effect of one.
+    Every micro-batch folds into the newest version and stores the rows it created or touched, unless the store already holds that
+    batch, so a batch that runs twice has the effect of one and writes in proportion to itself.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         writer = writer_of(spark, checkpoint)
         if not stored(spark, root, writer, batch_id):
-            write_table(upsert(read_table(spark, root), batch, today or date.today(), order).snapshot, root, writer, batch_id)
+            write_changes(upsert(read_table(spark, root), batch, today or date.today(), order).changes, root, writer, batch_id)
 
     writer = sightings.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return start(writer, trigger)

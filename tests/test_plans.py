@@ -35,3 +35,19 @@ def test_top_k_is_not_a_sort(spark):
 def test_keep_first_limits_before_the_shuffle(spark):
     text = plan(spark, "w2_keep_first")
     assert text.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("name", ["w5_navigation", "w5_navigation_notices"])
+def test_no_task_orders_all_days(spark, name):
+    assert "SinglePartition" not in plan(spark, name)
+
+
+def test_files_are_numbered_in_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from auctionlake.plans.jobs import numbered
+
+    rows = spark.range(5000).select(F.concat(F.lit("f"), F.lpad((F.col("id") / 5).cast("int").cast("string"), 5, "0")).alias("file"), (F.col("id") % 5).alias("pos"))
+    got = numbered(rows)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["ord"] for r in got.collect()) == list(range(5000))

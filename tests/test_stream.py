@@ -10,7 +10,7 @@ from auctionlake.operators.upsert import upsert
 from auctionlake.schema import SIGHTING_COLUMNS, struct
 from auctionlake.shared import new_folder
 from auctionlake.streaming import pull, stream
-from auctionlake.streaming.store import read_table, snapshots, write_table
+from auctionlake.streaming.store import read_table, snapshots, stored, write_changes, write_table
 
 TODAY = date(2026, 3, 1)
 
@@ -112,3 +112,22 @@ def test_bids_under_the_least_raise_do_not_restart_the_clock(spark):
         bids = stream.stream_files(spark, landing, spark.read.parquet(landing).schema)
         stream.write_stream(stream.bid_clock(bids), out, mark).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_batches_write_what_they_touch_and_are_known_ever_after(spark, tmp_path):
+    root = str(tmp_path / "table")
+    many = upsert(read_table(spark, root), batch(spark, *[{"ord": k, "source_listing_id": f"L{k}", "description": "x" * 500} for k in range(300)]), TODAY).snapshot
+    write_table(many, root, "first", 7)
+    for k in range(3):
+        one = upsert(read_table(spark, root), batch(spark, {"ord": k, "source_listing_id": "L5", "price_cents": k}, {"ord": 50 + k, "source_listing_id": f"new{k}"}), TODAY)
+        write_changes(one.changes, root, "w", k, every=2)
+    deltas = [d for d in os.listdir(root) if d.startswith("d")]
+    assert len(deltas) == 3 and len(snapshots(spark, root)) == 5
+    assert [spark.read.parquet(f"{root}/{d}").count() for d in deltas] == [2, 2, 2]
+    table = read_table(spark, root)
+    row = table.where("source_listing_id = 'L5'").first()
+    assert table.count() == 303 == table.select("id").distinct().count() and (row["seen_count"], row["price_cents"]) == (4, 2)
+    for k in range(4):
+        write_table(read_table(spark, root), root, "other", k)
+    assert "v000000000000-first-7" not in os.listdir(root)
+    assert stored(spark, root, "first", 7) and stored(spark, root, "w", 2) and not stored(spark, root, "w", 3) and not stored(spark, root, "x", 0)
