@@ -130,10 +130,26 @@ def match_parcels(
 
 
 def _left(listings: DataFrame, found: DataFrame) -> DataFrame:
-    """Left join on county and parcel text, a null county meeting a null county."""
+    """Left join on county and parcel text, a null county meeting a null county. Blank parcel texts can meet nothing; they get keys of
+    their own, so that they do not gather by county."""
     found = found.withColumnsRenamed({"county": "_c", "parcel_number": "_p"})
-    on = listings["county"].eqNullSafe(found["_c"]) & (listings["parcel_number"] == found["_p"])
-    return listings.join(found, on, "left").drop("_c", "_p")
+    number = F.col("parcel_number")
+    loose = F.concat(F.lit("\u0000"), F.xxhash64(*listings.columns).cast("string"))
+    keyed = listings.withColumn("_k", F.when(filled(number), number).otherwise(loose))
+    on = keyed["county"].eqNullSafe(found["_c"]) & (keyed["_k"] == found["_p"])
+    return keyed.join(found, on, "left").drop("_c", "_p", "_k")
+
+
+def _split_hot(index: DataFrame, asked: DataFrame, keys: list[str], counts: DataFrame, spread: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_part`` to join on as well: postings of a key with more than ``block`` are dealt to parts by ``spread``, and
+    what asks for that key is sent to each. ``counts`` has the postings ``df`` of each key."""
+    hot = counts.where(F.col("df") > block).select(*keys, F.ceil(F.col("df") / block).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return (
+        index.join(hot, keys, "left").withColumn("_part", part).drop("_parts"),
+        asked.join(hot, keys, "left").withColumn("_part", every).drop("_parts"),
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -161,7 +177,7 @@ def _street_patterns(addresses: DataFrame) -> DataFrame:
     return df.where("fips is not null").select("fips", "address", F.inline(ways)).where("head is not null")
 
 
-def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
+def match_addresses(listings: DataFrame, parcels: DataFrame, block: int = 50_000) -> DataFrame:
     """Listings with the parcel whose site address contains their street in ``match``.
 
     First the whole normalised street is searched, then its first two words in that order; the first
@@ -169,7 +185,8 @@ def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
 
     A pattern can only be contained in an address that has all its three-letter grams, so each
     distinct pattern is sent to the addresses of its rarest gram alone and compared there. Shorter
-    patterns use grams of their own length, kept for the (at most 26) counties that have such patterns.
+    patterns use grams of their own length, kept for the (at most 26) counties that have such patterns. A gram found in
+    more than ``block`` addresses is split. Only the feature's number goes through the comparison; its parcel is fetched for the first hit.
     Distinct addresses and patterns are staged, as every step reads them.
     """
     sites = (
@@ -187,7 +204,7 @@ def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
 
     def index(of: DataFrame, q: int) -> DataFrame:
         kept = of.where(F.length("site") >= q)
-        return kept.select("fips", "site", F.explode(_grams(F.col("site"), F.lit(q))).alias("gram"))
+        return kept.select("fips", "site", F.col("parcel.feature_id").alias("fid"), F.explode(_grams(F.col("site"), F.lit(q))).alias("gram"))
 
     small = sites.join(F.broadcast(tiny), "fips", "left_semi")
     grams = index(sites, GRAM)
@@ -199,14 +216,13 @@ def match_addresses(listings: DataFrame, parcels: DataFrame) -> DataFrame:
     rarest = wanted_grams.join(counts, ["fips", "gram"], "left").groupBy("fips", "head", "tail").agg(
         F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram")
     )
-    pairs = rarest.join(grams, ["fips", "gram"]).select("fips", "head", "tail", "site")
+    grams, rarest = _split_hot(grams, rarest, ["fips", "gram"], counts, "site", block)
+    pairs = rarest.join(grams, ["fips", "gram", "_part"]).select("fips", "head", "tail", "site", "fid")
     at = F.call_function("instr", F.col("site"), F.col("head"))
     after = F.substr(F.col("site"), at + F.length("head"))
     hit = (at > 0) & ((F.col("tail") == "") | after.contains(F.col("tail")))
-    firsts = (
-        pairs.where(hit).join(sites, ["fips", "site"])
-        .groupBy("fips", "head", "tail").agg(F.min_by("parcel", "parcel.feature_id").alias("parcel"))
-    )
+    firsts = pairs.where(hit).groupBy("fips", "head", "tail").agg(F.min("fid").alias("fid"))
+    firsts = firsts.join(sites.select("fips", F.col("parcel.feature_id").alias("fid"), "parcel"), ["fips", "fid"]).drop("fid")
     best = (
         ways.join(firsts, ["fips", "head", "tail"]).where("parcel.is_clean and parcel.acres > 0")
         .groupBy("fips", "address").agg(F.min_by("parcel", "prio").alias("match"))
@@ -234,7 +250,7 @@ def _needed_words(words: Column) -> Column:
     return F.greatest(F.floor(F.size(words) / 2) + 1, F.lit(2)).cast("int")
 
 
-def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) -> DataFrame:
+def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15, block: int = 50_000) -> DataFrame:
     """Listings with the ``tnmap_*`` columns of the first best parcel of their county.
 
     A parcel scores 5 for the county and 10 more for a matching address. With the default only
@@ -243,7 +259,8 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
 
     Addresses match by equal number lists, an equi-join on the list, or by shared words. Two word sets
     sharing enough words have one in common among the rarest few of each (all but the needed number
-    less one), so only those words are joined on and the pairs verified. Distinct addresses are staged.
+    less one), so only those words are joined on and the pairs verified; a word of more than ``block`` sets is split. Distinct addresses
+    are staged. Listings without a match fetch their details by keys of their own that meet nothing.
     """
     county = dims.tn_county_id(F.col("county"))
     sites = parcels.where(filled(F.col("ADDRESS")) & F.col("COUNTY_ID").isNotNull()).select(
@@ -279,8 +296,11 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
         return ranked.select("cid", "words", *kept, F.explode(few).alias("w")).withColumn("word", F.col("w.word")).drop("w")
 
     asked = rarest(wanted, "addr").withColumnRenamed("words", "asked")
+    known = stage(rarest(firsts, "ord"), "words")
+    postings = known.groupBy("cid", "word").agg(F.count(F.lit(1)).alias("df"))
+    known, asked = _split_hot(known, asked, ["cid", "word"], postings, "ord", block)
     by_words = (
-        asked.join(rarest(firsts, "ord"), ["cid", "word"])
+        asked.join(known, ["cid", "word", "_part"])
         .where(words_overlap(F.col("asked"), F.col("words")))
         .groupBy("cid", "addr").agg(F.min("ord").alias("ord"))
     )
@@ -294,7 +314,9 @@ def match_fuzzy(listings: DataFrame, parcels: DataFrame, min_score: int = 15) ->
         keyed = keyed.join(county_first, "cid", "left").withColumn("_ord", F.coalesce("_ord", "_first")).drop("_first")
     details = parcels.select(F.col("ord").alias("_ord"), *[F.col(src).alias(n) for n, src in TN_FIELDS.items()])
     kept = [c for c in keyed.columns if c not in TN_FIELDS]
-    return keyed.select(*kept).join(details, "_ord", "left").drop("_ord", "cid", "addr")
+    loose = -1 - F.abs(F.xxhash64(*listings.columns) % 1_000_000)
+    keyed = keyed.select(*kept).withColumn("_ord", F.coalesce(F.col("_ord").cast("bigint"), loose))
+    return keyed.join(details, "_ord", "left").drop("_ord", "cid", "addr")
 
 
 # ---------------------------------------------------------------------------

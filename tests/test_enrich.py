@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from auctionlake import dims
 from auctionlake.operators import enrich as en
 
@@ -92,6 +94,22 @@ def test_parcel_lookup(spark):
             assert (got[i] and got[i]["feature_id"]) == (want and want["feature_id"]), (county, number)
 
 
+def test_blank_parcel_numbers_do_not_gather(spark):
+    """Nine listings in ten have none: each comes through once."""
+    rows = [(i, "clay", "3" if i % 10 == 0 else ["", " ", None][i % 3]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, county string, parcel_number string")
+    fips = dims.NC_FIPS["clay"]
+    pdf = spark.createDataFrame([(1, "3", None, None, fips, "clay", "1 A ST", "o", None, 2.0, None, None, True)], PARCEL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = en.match_parcels(df, pdf)
+        got = joined.select("id", "match.feature_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["id"] for r in got) == list(range(2000)) and all((r["feature_id"] == 1) == (r["id"] % 10 == 0) for r in got)
+    assert joined.columns == [*df.columns, "match"]
+
+
 def normalised(address):
     words = re.sub(r"^\s*\d+\s+", "", address.strip()).upper().split()
     if words:
@@ -99,12 +117,14 @@ def normalised(address):
     return " ".join(words[-3:]) if len(words) >= 3 else f"{words[0][:3]} {words[1]}" if len(words) == 2 else " ".join(words)
 
 
-def test_address_search(spark):
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_address_search(spark, block):
+    """The same whether frequent grams are split or not."""
     rng = random.Random(5)
     raw = make_parcels(rng, 80)
     parcels = [dict(zip(NAMES, r)) for r in raw]
     rows, df = listing_frame(spark, rng, 120)
-    got = {r["id"]: r["match"] for r in en.match_addresses(df, spark.createDataFrame(raw, PARCEL)).select("id", "match").collect()}
+    got = {r["id"]: r["match"] for r in en.match_addresses(df, spark.createDataFrame(raw, PARCEL), block).select("id", "match").collect()}
     hits = 0
     for i, county, _, address in rows:
         want = None
@@ -131,7 +151,8 @@ def alike(a, b):
     return len(x & y) >= 2 and len(x & y) > len(x | y) / 2
 
 
-def test_fuzzy(spark):
+@pytest.mark.parametrize("block", [50_000, 2])
+def test_fuzzy(spark, block):
     rng = random.Random(9)
     words = ["OAK", "HILL", "FARM", "MILL", "OLD", "BEND"]
     address = lambda: " ".join([str(rng.randrange(30)), *rng.sample(words, rng.randrange(1, 5)), rng.choice(["ST", "Rd", ""])])
@@ -142,7 +163,7 @@ def test_fuzzy(spark):
     df = spark.createDataFrame(rows, "id long, county string, address string")
     ids = {"anderson": 1, "bedford": 2, "bledsoe": 4}
     for score in (15, 5):
-        got = {r["id"]: r["tnmap_owner"] for r in en.match_fuzzy(df, pdf, score).select("id", "tnmap_owner").collect()}
+        got = {r["id"]: r["tnmap_owner"] for r in en.match_fuzzy(df, pdf, score, block).select("id", "tnmap_owner").collect()}
         for i, county, addr in rows:
             inside = [s for s in sites if s[1] == ids.get(county.lower()) and (s[2] or "").strip()]
             want = next((s[3] for s in inside if (addr or "").strip() and alike(addr, s[2])), None)
