@@ -17,7 +17,7 @@ from auctionlake.functions.parcel import (
     address_words, county_matches, normalise_street, number_list, parcel_variants, word_set,
     words_overlap,
 )
-from auctionlake.operators.filters import needs_address_enrichment, needs_enrichment
+from auctionlake.operators.filters import in_need, needs_address_enrichment, needs_enrichment
 from auctionlake.schema import PROPERTY_COLUMNS
 from auctionlake.shared import stage
 
@@ -129,13 +129,14 @@ def match_parcels(
     return _left(listings, best)
 
 
-def _left(listings: DataFrame, found: DataFrame) -> DataFrame:
-    """Left join on county and parcel text, a null county meeting a null county. Blank parcel texts can meet nothing; they get keys of
-    their own, so that they do not gather by county."""
+def _left(listings: DataFrame, found: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Left join on county and parcel text, a null county meeting a null county. Blank parcel texts, and rows that are not ``wanted``,
+    meet nothing; they get keys of their own, so that they do not gather by county."""
     found = found.withColumnsRenamed({"county": "_c", "parcel_number": "_p"})
     number = F.col("parcel_number")
     loose = F.concat(F.lit("\u0000"), F.xxhash64(*listings.columns).cast("string"))
-    keyed = listings.withColumn("_k", F.when(filled(number), number).otherwise(loose))
+    asks = filled(number) if wanted is None else filled(number) & wanted
+    keyed = listings.withColumn("_k", F.when(asks, number).otherwise(loose))
     on = keyed["county"].eqNullSafe(found["_c"]) & (keyed["_k"] == found["_p"])
     return keyed.join(found, on, "left").drop("_c", "_p", "_k")
 
@@ -369,6 +370,12 @@ def enrich(df: DataFrame, parcels: DataFrame, source: str | None = None, limit:
     return _with_outcome(matched, filled(F.col("parcel_number")), "skipped_no_parcel", True)
 
 
+def enrich_in_place(table: DataFrame, parcels: DataFrame) -> DataFrame:
+    """The whole table, listings in need of it enriched: all rows pass once, and only those in need meet what was found for them."""
+    found = lookup_parcels(table.where(in_need()), parcels)
+    return apply_parcels(_left(table, found, in_need()), True)
+
+
 def enrich_by_address(df: DataFrame, parcels: DataFrame, source: str = "hutchens_law") -> DataFrame:
     """The same by street address, for a source without parcel numbers."""
     matched = match_addresses(needs_address_enrichment(df, source), parcels)

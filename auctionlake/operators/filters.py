@@ -70,8 +70,8 @@ def search_predicate(
     return keep
 
 
-def needs_enrichment(df: DataFrame, source: str | None = None, limit: int | None = None) -> DataFrame:
-    """Listings without GIS acreage, without a viewer link, or with a link from before the present formats."""
+def in_need(source: str | None = None) -> Column:
+    """Whether a listing lacks GIS acreage or a viewer link, or has a link from before the present formats; never null."""
     maps, gis = F.col("google_maps_url"), F.col("gis_url")
     unsized = F.col("acres").isNull() | F.col("acres_source").isNull() | (F.col("acres_source") == "placeholder")
     outdated = (
@@ -83,7 +83,12 @@ def needs_enrichment(df: DataFrame, source: str | None = None, limit: int | None
     keep = unsized | linked
     if source:
         keep = keep & (F.col("source") == source)
-    out = df.where(keep)
+    return F.coalesce(keep, F.lit(False))
+
+
+def needs_enrichment(df: DataFrame, source: str | None = None, limit: int | None = None) -> DataFrame:
+    """The listings that ``in_need`` names."""
+    out = df.where(in_need(source))
     return out if limit is None else out.orderBy("id").limit(limit)
 
 

@@ -68,6 +68,4 @@ def run_all(current: DataFrame, batch: DataFrame, parcels: DataFrame, today: dat
 
 def enrich_table(table: DataFrame, parcels: DataFrame) -> DataFrame:
     """Whole table, listings in need of it enriched."""
-    done = en.enrich(table, parcels).drop("outcome")
-    rest = table.join(done.select("id"), "id", "left_anti")
-    return rest.unionByName(done)
+    return en.enrich_in_place(table, parcels)

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from auctionlake import dims
 from auctionlake.operators import enrich as en
@@ -110,6 +111,22 @@ def test_blank_parcel_numbers_do_not_gather(spark):
     assert joined.columns == [*df.columns, "match"]
 
 
+def test_enrichment_in_place_is_enrichment_of_those_in_need(spark):
+    rng = random.Random(2)
+    _, df = listing_frame(spark, rng, 200)
+    links = {"source": "s", "city": "c", "gis_url": None, "google_maps_url": None, "google_maps_topo_url": None}
+    df = df.withColumns({k: F.lit(v).cast("string") for k, v in links.items()} | {"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
+    df = df.withColumns({"acres": F.when(F.col("id") % 3 == 0, 7.5), "acres_source": F.when(F.col("id") % 3 == 0, "gis"), "gis_url": F.when(F.col("id") % 6 == 0, "x")})
+    pdf = spark.createDataFrame(make_parcels(rng, 60), PARCEL)
+    got = en.enrich_in_place(df, pdf)
+    done = en.enrich(df, pdf).drop("outcome")
+    want = df.join(done.select("id"), "id", "left_anti").unionByName(done, allowMissingColumns=True)
+    rows = lambda d: sorted(map(repr, d.select(sorted(got.columns)).collect()))
+    assert rows(got) == rows(want) and got.where("owner_name is not null").count() > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Union" not in plan.split("Join LeftOuter")[0]
+
+
 def normalised(address):
     words = re.sub(r"^\s*\d+\s+", "", address.strip()).upper().split()
     if words:
