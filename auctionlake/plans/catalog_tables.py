@@ -169,7 +169,14 @@ SUFFIXES = "ST|STREET|AVE|AVENUE|BLVD|BOULEVARD|DR|DRIVE|ROAD|RD|LANE|LN|CIR|CIR
 WORDS = "list_distinct(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
 
 
-def fuzzy_sql(min_score: int) -> str:
+TN_SHOWN = """p.ownname as tnmap_owner, cast(null as varchar) as tnmap_owner2, p.siteadd || case when p.feature_id % 2 = 0 then ' PARK HILL' else '' end as tnmap_address,
+  case when p.feature_id is not null then 'City' end as tnmap_city, case when p.feature_id is not null then 1.5::double end as tnmap_deeded_acres,
+  case when p.feature_id is not null then 2.5::double end as tnmap_calculated_acres, case when p.feature_id is not null then 'L' end as tnmap_gislink,
+  p.parno as tnmap_cmap, case when p.feature_id is not null then 'G' end as tnmap_gp, p.altparno as tnmap_parcel,
+  case when p.feature_id is not null then 'S' end as tnmap_subdivision"""
+
+
+def fuzzy_sql(min_score: int, shown: str = "p.parno as tnmap_cmap, case when p.parno is not null then 1.5::double end as tnmap_deeded_acres") -> str:
     fallback = "coalesce(m.ord, c.ord)" if min_score <= 5 else "m.ord"
     return oracle((LV, PV), f"""with tn as (select * from (values {TN_IDS}) as t(cname, cid)),
 s as (select feature_id as ord, cid, parno, trim(regexp_replace(trim(siteadd) || case when feature_id % 2 = 0 then ' PARK HILL' else '' end,
@@ -181,7 +188,7 @@ pairs as (select a.id, s.ord, regexp_extract_all(a.w, '\\d+') = regexp_extract_a
     len(list_distinct(list_concat({WORDS.format('a.w')}, {WORDS.format('s.w')}))) as total from a join s using (cid)),
 m as (select id, min(ord) as ord from pairs where nums or (common >= 2 and common * 2 > total) group by 1),
 c as (select cid, min(ord) as ord from s group by 1)
-select l.id, p.parno as tnmap_cmap, case when p.parno is not null then 1.5::double end as tnmap_deeded_acres
+select l.id, {shown}
 from listings_v l left join a on a.id = l.id left join m on m.id = l.id left join c on c.cid = a.cid
 left join parcels_v p on p.feature_id = {fallback}""")
 
@@ -380,9 +387,7 @@ QUERIES = {
     "j6_fuzzy_match": (fuzzy(15), fuzzy_sql(15)),
     "j6_fuzzy_match_any": (fuzzy(5), fuzzy_sql(5)),
     "d10_tn_columns": (
-        lambda spark, sf: en.match_fuzzy(tn_listings(spark, sf), tn_sites(spark, sf)).agg(
-            *[F.count(c).alias(c) for c in en.TN_FIELDS]),
-        None,
+        lambda spark, sf: en.match_fuzzy(tn_listings(spark, sf), tn_sites(spark, sf)).select("id", *en.TN_FIELDS), fuzzy_sql(15, TN_SHOWN),
     ),
     "a14_county_groups": (
         _on(LV, lambda df: df.groupBy(dims.tn_county_id(F.col("county")).alias("county_id")).agg(F.count(F.lit(1)).alias("listings"))),
