@@ -80,6 +80,12 @@ def tax_grid_rows(rows: DataFrame, cells: str = "cells") -> DataFrame:
     )
 
 
+def read_tax_grid(spark: SparkSession, path: str) -> DataFrame:
+    """Landed grids: each file an array of rows, a row an array of cell texts."""
+    rows = F.from_json("content", "array<array<string>>")
+    return tax_grid_rows(read_texts(spark, path).select("file", F.posexplode(rows).alias("pos", "cells")))
+
+
 def ical_events(files: DataFrame, column: str = "content") -> DataFrame:
     """One row per VEVENT block, continuation lines unfolded."""
     keep = [c for c in files.columns if c != column]

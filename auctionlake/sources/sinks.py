@@ -34,6 +34,12 @@ def append_runs(runs: DataFrame, path: str) -> None:
     with_columns_of(runs, RUN_COLUMNS).write.mode("append").parquet(path)
 
 
+def has_runs(spark: SparkSession, path: str) -> bool:
+    """Whether any run was logged."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """One row per run, the finished entry before the started one."""
     log = with_columns_of(spark.read.parquet(path), RUN_COLUMNS)

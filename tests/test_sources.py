@@ -114,3 +114,34 @@ def test_runs(spark):
     row = mutate.finish_run(runs, 1, counts, datetime(2026, 1, 2), "failed", "why").first()
     assert (row["properties_found"], row["properties_new"], row["properties_duplicate"], row["status"], row["error_message"]) == (
         5, 2, 3, "failed", "why")
+
+
+CELLS = json.dumps([["Clay County Tax Office", "P-9", "For sale", "8/1/2026 10:00 AM", "8/11/2026", "$5,000.00", "n/a", "shot", "⚠️ 9 Oak Rd"], ["short"]])
+UID = "0a1b2c3d-11"
+PAPER = f'<a href="/classifieds/community/public_notices/sheriff-sale-1/ad_{UID}.html">n</a> Jan 5, 2026'
+DETAIL = "<html><body><h1>Notice of Sale</h1>Parcel ID: 123-45 Deed Book 4 Page 5</body></html>"
+
+
+def test_each_source_fails_by_itself(spark, tmp_path):
+    """A broken feed is logged and passed over; after three failures it is not tried any more."""
+    from auctionlake.sources.sinks import read_runs
+
+    log = str(tmp_path / "runs")
+    landing = Landing(
+        listing_json=land(tmp_path, "api", a=API), sales_grid=str(tmp_path / "missing"), tax_grid=land(tmp_path, "tax", a=CELLS),
+        newspapers={"watauga": (land(tmp_path, "paper", a=PAPER), land(tmp_path, "ads", **{f"{UID}.html": DETAIL}))},
+    )
+    for attempt in range(4):
+        batch = jobs.collect_each(spark, landing, log)
+        rows = {(r["source"], r["county"]): r for r in batch.collect()}
+        assert {s for s, _ in rows} == {"kania_law", "zls_nc", "newspaper_notices"}
+        runs = read_runs(spark, log)
+        assert runs.where("source = 'sales_grid'").count() == min(attempt + 1, 3)
+    paper = next(r for (s, _), r in rows.items() if s == "newspaper_notices")
+    assert (paper["source_listing_id"], paper["extracted_pin"], paper["deed_book"]) == (f"wd_{UID}", "123-45", "Deed:Bk4Pg5")
+    told = {(r["source"], r["status"]): r for r in runs.collect()}
+    assert set(told) == {("listing_json", "completed"), ("sales_grid", "failed"), ("tax_grid", "completed"), ("newspaper_watauga", "completed")}
+    assert told["sales_grid", "failed"]["error_message"] and told["listing_json", "completed"]["properties_found"] == 2
+    assert runs.count() == runs.select("id").distinct().count() == 3 * 4 + 3
+    assert len({r["ord"] for r in jobs.numbered(batch).collect()}) == 4
+    assert jobs.collect_each(spark, Landing(sales_grid=str(tmp_path / "missing")), log).count() == 0
