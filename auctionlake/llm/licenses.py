@@ -101,9 +101,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     cue = F.lit(False)
     for word in CUES:
         cue = cue | F.contains(low, F.lit(word))
-    numbers = docs.where(cue).select(F.col(id_col).alias("doc_id"), sentence_numbers(text).alias("numbers"))
-    at = F.filter(F.sequence(F.lit(0), F.size("numbers") - 1), lambda k: F.get("numbers", k) > 0)
-    known = numbers.withColumn("at", at).where(F.size("at") > 0).withColumn("seen", F.filter("numbers", lambda n: n > 0))
+    # Numbers are bound and pass a generator: no filter above it is pushed below, where it would split texts again.
+    shaped = lambda n: F.struct(F.array_compact(F.transform(n, lambda x, i: F.when(x > 0, i))).alias("at"), F.filter(n, lambda x: x > 0).alias("seen"))
+    told = F.filter(F.transform(F.array(sentence_numbers(text)), shaped), lambda t: F.size(t["seen"]) > 0)
+    known = docs.where(cue).select(F.col(id_col).alias("doc_id"), F.inline(told))
     rules = F.array(*[
         F.struct(F.lit(k + 1).alias("rule"), F.lit(name).alias("licence"), F.lit(marked(ids)).alias("ids"), F.lit(taken(ids)).alias("off"), F.lit(0).alias("place"))
         for k, (name, ids) in enumerate(RULES)
