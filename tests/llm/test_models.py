@@ -117,26 +117,78 @@ def test_list_decoding_finds_all_filters():
         assert got.tolist() == want
 
 
-def test_gradients_agree_with_differences():
+def fitted(ids, counts, steps=0):
+    """A model trained on one text in this process."""
+    model = scoring.start(np.asarray(counts))
+    if steps:
+        second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+        model.weights, _ = scoring.descend(model, second, np.r_[np.full(scoring.BEFORE + 1, model.end), ids], steps, np.random.default_rng(5))
+    return model
+
+
+@pytest.mark.parametrize("many", [30, 2000])
+def test_gradients_agree_with_differences(many):
     rng = np.random.default_rng(0)
-    model = scoring.train([], np.ones(30, np.int64))
-    w = {k: v.astype(np.float64) for k, v in model.weights.items()}
-    x, y = rng.integers(0, 30, (3, scoring.WINDOW)), rng.integers(0, scoring.SINGLES, (3, scoring.WINDOW)) % 30
-    _, g = scoring.gradients(w, x, y)
+    model = fitted([], np.arange(many))
+    w = model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
+    x, y = rng.integers(0, many, (3, scoring.WINDOW)), rng.integers(0, many, (3, scoring.WINDOW))
+    _, g, met = scoring.gradients(model, x, y)
+    whole = np.zeros_like(w["E"])
+    whole[met] = g["E"]
+    g["E"] = whole
     for k in w:
-        at = tuple(rng.integers(0, s) for s in w[k].shape)
-        kept = w[k][at]
-        w[k][at] = kept + 1e-5
-        up = scoring.gradients(w, x, y)[0]
-        w[k][at] = kept - 1e-5
-        down = scoring.gradients(w, x, y)[0]
-        w[k][at] = kept
-        assert (up - down) / 2e-5 == pytest.approx(g[k][at], abs=2e-4)
+        for _ in range(4):
+            at = (rng.choice(met), rng.integers(scoring.WIDTH)) if k == "E" else tuple(rng.integers(0, s) for s in w[k].shape)
+            kept = w[k][at]
+            if kept < -1e3:  # a place without an id
+                assert g[k][at] == 0
+                continue
+            w[k][at] = kept + 1e-5
+            up = scoring.gradients(model, x, y)[0]
+            w[k][at] = kept - 1e-5
+            down = scoring.gradients(model, x, y)[0]
+            w[k][at] = kept
+            assert (up - down) / 2e-5 == pytest.approx(g[k][at], abs=2e-4)
+
+
+def plain_log_probabilities(model, ids):
+    """ln P of each id of one text and its end, place by place: loops over the keys it may attend to, and over all ids as outcomes."""
+    w, end, text = model.weights, model.end, [*ids, model.end]
+    row = [end] * (scoring.BEFORE + 1) + text
+    out = []
+    for k in range(len(text)):
+        first = k // scoring.STRIDE * scoring.STRIDE  # where the id's window begins
+        seen = row[first:k + scoring.BEFORE + 1]
+        e = [w["E"][t] + w["P"][at] for at, t in enumerate(seen)]
+        q, keys, values = (e[-1] @ w["A"])[:16], [(x @ w["A"])[16:32] for x in e], [(x @ w["A"])[32:] for x in e]
+        weights = [math.exp(min(30, max(-30, float(q @ key)))) for key in keys]
+        h = e[-1] + sum(a * v for a, v in zip(weights, values, strict=True)) / sum(weights)
+        r = np.maximum(h @ w["B"] + w["b"], 0)
+        firsts = [math.exp(z) for z in r @ w["C"] + w["c"]]
+        own = int(model.classes[text[k]])
+        p = firsts[own] / sum(firsts)
+        if own < scoring.SETS:
+            places = [math.exp(r @ w["D"][own][:, s] + w["d"][own][s]) for s in range(scoring.SIZE)]
+            p *= places[model.slots[text[k]]] / sum(places)
+        else:
+            p *= math.exp(model.inside[text[k]])
+        out.append(math.log(p))
+    return out
+
+
+def test_windows_agree_with_attention_place_by_place():
+    rng = np.random.default_rng(2)
+    many = 2500
+    model = fitted(rng.integers(0, many - 1, 3000), np.arange(many) // 3, steps=5)
+    lengths = np.asarray([0, 1, 23, 24, 25, 90])
+    ids = rng.integers(0, many - 1, lengths.sum())
+    want = [p for n, e in zip(lengths, np.cumsum(lengths), strict=True) for p in plain_log_probabilities(model, ids[e - n:e].tolist())]
+    assert np.allclose(scoring.log_probabilities(model, ids, lengths, most=3), want, rtol=1e-4, atol=1e-4)
 
 
 def test_each_id_is_scored_once_from_what_stands_before_it():
     rng = np.random.default_rng(0)
-    model = scoring.train([rng.integers(0, 30, 400)], np.ones(31, np.int64), steps=3)
+    model = fitted(rng.integers(0, 30, 400), np.ones(31, np.int64), steps=3)
     lengths = np.asarray([0, 1, 23, 24, 25, 100])
     ids = rng.integers(0, 30, lengths.sum())
     got = scoring.log_probabilities(model, ids, lengths)
@@ -150,17 +202,32 @@ def test_each_id_is_scored_once_from_what_stands_before_it():
     assert total + math.exp(scoring.log_probabilities(model, ids[:5], np.asarray([5]))[5]) == pytest.approx(1, abs=1e-3)
 
 
-def test_attention_learns_from_every_training_document(spark):
+@pytest.mark.parametrize("many", [31, 1600, 4000])
+def test_chances_of_all_ids_add_up_to_one(many):
+    rng = np.random.default_rng(4)
+    model = fitted(rng.integers(0, many - 1, 2000), np.arange(many)[::-1] ** 2, steps=4)
+    r = np.abs(rng.standard_normal((1, scoring.HIDDEN))).astype(np.float32)
+    assert np.exp(scoring.chances(model, np.repeat(r, many, axis=0), np.arange(many)).astype(np.float64)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_attention_learns_from_every_training_document(spark, tmp_path):
     rng = np.random.default_rng(6)
     docs = spark.createDataFrame([(k, " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(12))) for k in range(700)], "doc_id bigint, text string")
     source = docs.select("doc_id", scoring.held_out(docs.doc_id).alias("held"), docs.text.cast("binary").alias("text"))
-    blocks = scoring.blocks_of(source, vocabulary(), 9000).localCheckpoint()
+    scoring.blocks_of(source, vocabulary(), 9000).write.parquet(str(tmp_path / "blocks"))
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
     counts = scoring.subword_counts(blocks, vocabulary())
     model = scoring.fit(blocks, vocabulary(), counts, rounds=2, steps=60)
-    moved = (model.weights["E"] != scoring.start(counts, model.classes)["E"]).any(axis=1)
+    moved = (model.weights["E"] != scoring.start(counts).weights["E"]).any(axis=1)
     assert blocks.count() > 2 and moved[counts > 0].mean() > 0.98 and not moved[counts == 0].any()
 
 
+def test_score_of_held_out_documents_beats_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = scoring.score(docs, vocabulary()).where("held_out").selectExpr("sum(score) / sum(n_tokens) as score", "sum(base_score) / sum(n_tokens) as base").first()
+    assert held.score > held.base
+
+
 def test_score_is_the_attention_models_own(spark):
     docs = prose(spark, 60).select("doc_id", "text").coalesce(1)
     got = {r.doc_id: r.score for r in scoring.score(docs, vocabulary()).collect()}
