@@ -101,7 +101,10 @@ class Subwords:
 
     def marked(self, folded: bytes) -> bool:
         """Whether a special token's own string stands in the text; such texts are encoded as a whole."""
-        return any(m in folded for m in self.marks)
+        for m in self.marks:
+            if m in folded:
+                return True
+        return False
 
     def text(self, text: bytes | None) -> bytes:
         """Ids of a whole text; null has none."""
