@@ -50,13 +50,11 @@ def read_listing_json(spark: SparkSession, path: str) -> DataFrame:
 def sales_grid_rows(pages: DataFrame, column: str = "html") -> DataFrame:
     """Grid rows of exactly eight cells, as eight raw string columns."""
     keep = [c for c in pages.columns if c != column]
-    rows = pages.select(
-        *keep, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(P.GRID_ROW), F.lit(1))).alias("pos", "row")
-    )
-    cells = rows.withColumn("cells", F.regexp_extract_all(F.col("row"), F.lit(P.TABLE_CELL), F.lit(1)))
-    return cells.where(F.size("cells") == len(SALES_GRID_COLUMNS)).select(
-        *keep, "pos", *[F.col("cells")[i].alias(n) for i, n in enumerate(SALES_GRID_COLUMNS)]
-    )
+    rows = F.regexp_extract_all(F.col(column), F.lit(P.GRID_ROW), F.lit(1))
+    cut = F.transform(rows, lambda r, i: F.struct(i.alias("pos"), F.regexp_extract_all(r, F.lit(P.TABLE_CELL), F.lit(1)).alias("cells")))
+    # chosen inside the page's array: a filter on rows would be moved below and cut every row again
+    cells = pages.select(*keep, F.inline(F.filter(cut, lambda r: F.size(r["cells"]) == len(SALES_GRID_COLUMNS))))
+    return cells.select(*keep, "pos", *[F.col("cells")[i].alias(n) for i, n in enumerate(SALES_GRID_COLUMNS)])
 
 
 def read_sales_grid(spark: SparkSession, path: str) -> DataFrame:
