@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,21 +14,37 @@ from auctionlake.functions.base import (
 )
 
 
+def folded(text: Column) -> Column:
+    """Text in lower case as the patterns that ignore case see it: the three other letters they take for i and s count as those."""
+    for other, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        text = F.replace(text, F.lit(other), F.lit(plain))
+    return F.lower(text)
+
+
+def holding(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds all the words: what a pattern cannot match without, at a fraction of its cost."""
+    return reduce(lambda a, b: a & b, [text.contains(w) for w in words])
+
+
+def first_held(text: Column, patterns: tuple[str, ...], needed: tuple[tuple[str, ...], ...], low: Column | None = None) -> Column:
+    """``first_found``, each pattern tried only on texts that hold the words it needs, in lower case."""
+    low = folded(text) if low is None else low
+    return F.coalesce(*[F.when(holding(low, words), found(text, p)) for p, words in zip(patterns, needed, strict=True)])
+
+
 def _plausible_acres(text: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     numbers = F.transform(hits, lambda h: F.replace(h, F.lit(","), F.lit("")).try_cast("double"))
     return F.try_element_at(F.filter(numbers, lambda v: (v > 0.1) & (v < 10000)), F.lit(1))
 
 
-def acreage(text: str | Column) -> Column:
+def acreage(text: str | Column, low: Column | None = None) -> Column:
     """First plausible acreage; wordings are tried in order of trust, each only on texts that hold its plain words."""
     text = col(text)
 
-    def tried(low: Column) -> Column:
-        ways = [F.when(low.contains(word), _plausible_acres(text, p)) for p, word in zip(P.ACREAGE, P.ACREAGE_WORDS, strict=True)]
-        return F.when(low.contains("acre"), F.coalesce(*ways))
-
-    return bind(F.lower(text), tried)
+    low = folded(text) if low is None else low
+    ways = [F.when(low.contains(word), _plausible_acres(text, p)) for p, word in zip(P.ACREAGE, P.ACREAGE_WORDS, strict=True)]
+    return F.when(low.contains("acre"), F.coalesce(*ways))
 
 
 def normalise_pin(raw: str | Column) -> Column:
@@ -35,21 +53,20 @@ def normalise_pin(raw: str | Column) -> Column:
     return F.btrim(F.regexp_replace(c, P.PIN_SEPARATORS, "-"), F.lit("-"))
 
 
-def pin(text: str | Column) -> Column:
-    """Tax parcel id. Texts without any of the words that may lead to one are scanned once."""
-    text = col(text)
-    return F.when(text.rlike(P.PIN_WORDS), normalise_pin(first_found(text, P.PIN)))
+def pin(text: str | Column, low: Column | None = None) -> Column:
+    """Tax parcel id. A text is scanned only for wordings whose plain words it holds."""
+    return normalise_pin(first_held(col(text), P.PIN, P.PIN_NEEDS, low))
 
 
 def deed_plat(text: str | Column) -> Column:
     """Recording reference as one tagged string, such as ``Deed:Bk12Pg34`` or ``Plat:File5Pg6``. The text is scanned once for each
-    wording until one is found; its numbers are read from what matched."""
+    wording whose letters it holds until one is found; its numbers are read from what matched."""
     text = col(text)
 
     def tagged(p: str, tag: str, sep: str) -> Column:
         return bind(found(text, p, 0), lambda m: F.concat(F.lit(tag), F.regexp_extract(m, p, 1), F.lit(sep), F.regexp_extract(m, p, 2)))
 
-    return F.coalesce(*[tagged(*wording) for wording in P.DEED_PLAT])
+    return F.coalesce(*[F.when(holding(text, needs), tagged(*wording)) for wording, needs in zip(P.DEED_PLAT, P.DEED_PLAT_NEEDS, strict=True)])
 
 
 def deed_only(reference: str | Column) -> Column:
@@ -88,8 +105,9 @@ def office_county(label: str | Column) -> Column:
     return F.initcap(F.lower(first_found(col(label), P.OFFICE_COUNTY)))
 
 
-def notice_address(text: str | Column) -> Column:
-    return F.btrim(strip(found(col(text), P.NOTICE_ADDRESS)), F.lit(".,"))
+def notice_address(text: str | Column, low: Column | None = None) -> Column:
+    text = col(text)
+    return F.btrim(strip(F.when((folded(text) if low is None else low).contains("property"), found(text, P.NOTICE_ADDRESS))), F.lit(".,"))
 
 
 def _iso_date(text: Column, pattern: str) -> Column:
@@ -104,10 +122,13 @@ def _iso_date(text: Column, pattern: str) -> Column:
     return bind(found(text, pattern, 0), iso)
 
 
-def auction_date(text: str | Column) -> Column:
+def auction_date(text: str | Column, low: Column | None = None) -> Column:
     """ISO text of the announced sale day. The day is not validated; see ``auction_day``."""
     text = col(text)
-    return F.coalesce(_iso_date(text, P.DATE_OF_SALE), _iso_date(text, P.ON_DATE))
+
+    low = folded(text) if low is None else low
+    dated = F.coalesce(F.when(low.contains("date"), _iso_date(text, P.DATE_OF_SALE)), _iso_date(text, P.ON_DATE))
+    return F.when(contains_any(low, [m.lower() for m in P.MONTHS]), dated)
 
 
 def auction_day(iso: str | Column) -> Column:
@@ -145,15 +166,16 @@ def notice_class(text: str | Column) -> Column:
 
 
 def extract_notice_fields(df, text: str = "text", slug: str | None = None):
-    """All facts of a notice as columns, in one pass over the table."""
-    return df.withColumns(
+    """All facts of a notice as columns, in one pass over the table; its text is folded once for all of them."""
+    low = F.col("_low")
+    return df.withColumn("_low", folded(col(text))).withColumns(
         {
             "county": notice_county(text, slug),
             "court_case": court_case(text),
-            "extracted_pin": pin(text),
+            "extracted_pin": pin(text, low),
             "extracted_deed_plat": deed_plat(text),
-            "notice_address": empty_to_null(notice_address(text)),
-            "notice_auction_date": auction_date(text),
-            "notice_acres": acreage(text),
+            "notice_address": empty_to_null(notice_address(text, low)),
+            "notice_auction_date": auction_date(text, low),
+            "notice_acres": acreage(text, low),
         }
-    ).withColumn("deed_book", deed_only("extracted_deed_plat"))
+    ).withColumn("deed_book", deed_only("extracted_deed_plat")).drop("_low")
