@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from auctionlake import dims
 from auctionlake.functions import patterns as P
-from auctionlake.functions.base import contains_any, empty_to_null, found, rest, strip, truthy
+from auctionlake.functions.base import bind, contains_any, empty_to_null, found, rest, strip, truthy
 from auctionlake.functions.text import (
     court_case, deed_plat, grid_county, pin, posted_date, sp_case, strip_html,
 )
@@ -51,15 +51,19 @@ def relevant_slug(slug: Column) -> Column:
 
 
 def assign_dates(candidates: Column, dates: Column) -> Column:
-    """Candidate i gets date i modulo the number of dates; null when the page names none."""
-    n = F.size(dates)
-    return F.transform(
-        candidates,
-        lambda c, i: F.struct(
-            c["slug"].alias("slug"), c["uid"].alias("uid"), i.alias("idx"),
-            F.when(n > 0, F.try_element_at(dates, (F.pmod(i, F.greatest(n, F.lit(1))) + 1).cast("int"))).alias("date"),
-        ),
-    )
+    """Candidate i gets date i modulo the number of dates; null when the page names none. The dates are read once, not once per candidate."""
+
+    def given(found: Column) -> Column:
+        n = F.size(found)
+        return F.transform(
+            candidates,
+            lambda c, i: F.struct(
+                c["slug"].alias("slug"), c["uid"].alias("uid"), i.alias("idx"),
+                F.when(n > 0, F.try_element_at(found, (F.pmod(i, F.greatest(n, F.lit(1))) + 1).cast("int"))).alias("date"),
+            ),
+        )
+
+    return bind(dates, given)
 
 
 def notice_page_candidates(
@@ -104,9 +108,9 @@ def card_candidates(cards: DataFrame, href: str = "href", text: str = "card_text
 def relevant_notices(df: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
     """Title names a notice and title or content name real property."""
     body = F.lower(F.concat_ws(" ", F.col(title), F.col(content)))
-    return df.where(
-        contains_any(F.upper(F.col(title)), dims.TITLE_WORDS) & contains_any(body, dims.RELEVANT_STEMS)
-    )
+    # bound, as a filter would make the text anew for every word
+    named = bind(F.upper(F.col(title)), lambda t: contains_any(t, dims.TITLE_WORDS))
+    return df.where(named & bind(body, lambda b: contains_any(b, dims.RELEVANT_STEMS)))
 
 
 def min_length(df: DataFrame, n: int, text: str = "text") -> DataFrame:
