@@ -160,14 +160,21 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, id_col: str = "
     return docs.withColumn("_found", predict(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
 
 
-def lowest_score(held: DataFrame, predict, lost: float = 0.002, slack: float = 0.9, most: int = 1000) -> float:
+def lowest_score(held: DataFrame, predict, lost: float = 0.002, slack: float = 0.9, steps: int = 10_000) -> float:
     """The score under which a text counts as of no learned language: nine tenths of the score that all but the share ``lost`` of the
-    rightly predicted rows (lang, text, doc_id) kept from training reach; 0 without such rows."""
-    rows = sampled(held, most)
-    if rows is None:
-        return 0.0
-    found = rows.withColumn("_found", predict("text")).where("_found.lang = lang").agg(F.percentile(F.col("_found.score"), F.lit(lost)).alias("q")).first()["q"]
-    return slack * (found or 0.0)
+    rightly predicted rows (lang, text, doc_id) kept from training reach; 0 without such rows.
+
+    All those rows are predicted and counted by scores cut to ``steps`` steps, so the driver gets at most one row per step.
+    """
+    score = F.col("_found.score")
+    right = held.where("lang is not null").withColumn("_found", predict("text")).where("_found.lang = lang")
+    counts = sorted(tuple(r) for r in right.groupBy(F.floor(score * steps).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())
+    below = lost * sum(n for _, n in counts)
+    for step, n in counts:
+        below -= n
+        if below < 0:
+            return slack * step / steps
+    return 0.0
 
 
 def recognised(docs: DataFrame, lowest: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
