@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+_tables: list = []
+
+
+def kept_in_worker(most: int) -> Callable:
+    """Marks a function whose ``most`` last results a Python worker keeps from task to task, until ``make_room`` lets them go."""
+
+    def mark(make: Callable) -> Callable:
+        kept = lru_cache(maxsize=most)(make)
+        _tables.append(kept)
+        return kept
+
+    return mark
+
+
+def make_room(*needed: Callable) -> None:
+    """Let go of what this Python worker keeps from tasks of other operators: Spark hands the same workers from stage to stage."""
+    for kept in _tables:
+        if kept not in needed:
+            kept.cache_clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

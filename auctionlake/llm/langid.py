@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32
+from .common import bounded_batches, crc32, make_room
 
 #: Language families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -43,7 +43,11 @@ def profile(text: str) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge) by accelerated gradient descent; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    return machine_of(np.hstack([x, np.ones((len(x), 1), np.float32)]), y, cost, rounds)
+
+
+def machine_of(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """The same of vectors whose last component is 1."""
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * cost
     w = v = np.zeros(x.shape[1], np.float32)
     step, t = 1 / (1 + 2 * cost * 2), 1.0
@@ -91,12 +95,15 @@ def train(docs: DataFrame, most: int = 300) -> list[tuple[str, str, str, bytes,
     )).alias("at")).select("text", "at.level", "at.label")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        made = [(label, profile(s)) for text, label in zip(group["text"], group["label"], strict=True) for s in snippets(text)]
-        x, labels = np.stack([v for _, v in made]), np.asarray([k for k, _ in made])
+        make_room()
+        made = [(label, s) for text, label in zip(group["text"], group["label"], strict=True) for s in snippets(text)]
+        x, labels = np.ones((len(made), DIMS + 1), np.float32), np.asarray([k for k, _ in made])
+        for k, (_, s) in enumerate(made):
+            x[k, :DIMS] = profile(s)
         out = []
         for one, two in combinations(sorted(set(labels)), 2):
             mine = (labels == one) | (labels == two)
-            w, b = machine(x[mine], np.where(labels[mine] == one, 1, -1).astype(np.float32))
+            w, b = machine_of(x if mine.all() else x[mine], np.where(labels[mine] == one, 1, -1).astype(np.float32))
             out.append((group["level"].iloc[0], one, two, w.tobytes(), b))
         return pd.DataFrame(out or [(group["level"].iloc[0], labels[0], labels[0], b"", 0.0)], columns=["level", "one", "two", "w", "b"])
 
@@ -137,6 +144,7 @@ def predictor(machines: list[tuple[str, str, str, bytes, float]]):
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        make_room()
         return pd.DataFrame([one_text(t) for t in texts], columns=["lang", "score"])
 
     return predict

@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, text_key
+from .common import bounded_batches, kept_in_worker, make_room, staged, text_key
 from .components import components
 
 #: Odd multipliers of the shingle hash.
@@ -34,7 +34,7 @@ class WordHashes(dict):
         return got
 
 
-@lru_cache(maxsize=1)
+@kept_in_worker(1)
 def word_hashes() -> WordHashes:
     return WordHashes()
 
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, seed: int) ->
     """(doc_id, row_key, n, cls, bands, sig): set size, class of equal sets, band keys, and one byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(word_hashes)
         for batch in batches:
             sizes, classes, keys, sigs = [], [], [], []
             for text in batch.column("text"):
@@ -110,7 +111,7 @@ def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int, least: float) -> DataFrame:
-    """Pairs of classes whose set sizes allow the similarity and whose signatures come near it."""
+    """Pairs of classes whose set sizes allow the similarity and whose signatures come near it, with the set size of the second."""
     one = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
 
@@ -122,7 +123,7 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int, least: float)
         return pd.Series(alike(*both))
 
     sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return sized.where(estimate("sig_a", "sig_b") >= least).select("a", "b")
+    return sized.where(estimate("sig_a", "sig_b") >= least).select("a", "b", "n_b")
 
 
 def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -130,6 +131,7 @@ def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int
     keys = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("row_key").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(word_hashes)
         for batch in batches:
             found = [shingles(x.as_py(), width) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cls", "found"])
@@ -137,20 +139,29 @@ def full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, width: int
     return docs.join(keys, "row_key", "left_semi").select("doc_id", "text").mapInArrow(sets, "cls bigint, found binary")
 
 
+#: Shingles that the sets of a group hold together, about: 4 MB.
+MOST = 1 << 19
+
+
+def parts(rows: str, sizes: str, block: int, most: int) -> Column:
+    """Into how many parts to deal sets, so that each holds about ``block`` of them and ``most`` shingles."""
+    return F.greatest(F.ceil(F.count(rows) / block), F.ceil(F.sum(sizes) / most))
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(x, y)
     both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
-    """Those pairs whose full shingle sets are similar enough.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int = 256, most: int = MOST) -> DataFrame:
+    """Those pairs (a, b, n_b: size of b) whose full shingle sets are similar enough.
 
-    Sets are sent to groups of one class and up to about ``block`` partners: a class with very many partners is spread over
-    many tasks.
+    Sets are sent to groups of one class and up to about ``block`` partners of ``most`` shingles in all: a class with very many partners,
+    or long ones, is spread over many tasks.
     """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
-    placed = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / block)).alias("salt"))
+    degree = pairs.groupBy("a").agg(parts("*", "n_b", block, most).alias("d"))
+    placed = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "d").alias("salt"))
     members = placed.select("a", "salt", F.col("b").alias("cls")).union(placed.select("a", "salt", F.col("a").alias("cls")).distinct())
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -186,25 +197,27 @@ def candidates(group: pd.DataFrame, percent: int, least: float) -> Iterator[tupl
 
 def crossing(
     bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, least: float, block: int = 512,
+    most: int = MOST,
 ) -> DataFrame:
-    """Links between classes that share a bucket but not a component yet.
+    """Links between classes that share a bucket (key, cls, n: set size) but not a component yet.
 
-    Buckets inside one component, however large, are left out. The others are cut into blocks, and each two blocks of a bucket
-    meet in a task of their own (small buckets share tasks). There signatures are compared as matrices; what leaves are the
+    Buckets inside one component, however large, are left out. The others are cut into blocks of up to about ``block`` classes and
+    ``most`` shingles, and each two blocks of a bucket meet in a task of their own (small buckets share tasks, up to about the same sizes). There signatures are compared as matrices; what leaves are the
     classes of promising pairs, not the pairs. Where their full sets meet again in the same way, the pairs are checked exactly,
     and only links leave.
     """
     label = F.coalesce("component", "cls")
-    marked = bands.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", label.alias("label"))
-    mixed = marked.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    cut = marked.join(mixed.select("key", F.ceil(F.col("many") / block).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
+    marked = bands.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", "n", label.alias("label"))
+    mixed = marked.groupBy("key").agg(parts("*", "n", block, most).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    cut = marked.join(mixed.select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = staged(dealt.select(
-        "key", "cls", "label", "own", "blocks", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+        "key", "cls", "n", "label", "own", "blocks", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     ), "dealt")
-    tasks = max(1, dealt.count() // 20_000)
+    small = dealt.where("blocks = 1").agg(F.greatest(F.ceil(F.count("*") / (2 * block)), F.ceil(F.sum("n") / most))).first()[0]
+    tasks = max(1, small or 0)
     where = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(tasks)))
-    traits = classes.select("cls", "n", "sig", "bands")
+    traits = classes.select("cls", "sig", "bands")
     met = dealt.withColumn("task", where).join(traits, "cls")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -265,13 +278,13 @@ def near_duplicates(
         signed.join(heads, "cls").where(F.col("row_key") == F.col("lead.row_key")).select("cls", "lead", "row_key", "n", "bands", "sig").dropDuplicates(["cls"]),
         "classes",
     )
-    every = classes.select("cls", F.explode("bands").alias("key"))
+    every = classes.select("cls", "n", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("many")).where("many > 1")
-    buckets = staged(every.join(shared, "key").select("key", "cls", "hub"), "buckets")
+    buckets = staged(every.join(shared, "key").select("key", "cls", "n", "hub"), "buckets")
     stars = staged(buckets.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     links = staged(verified(promising(stars, classes, percent, least), classes, source, width, percent), "links")
     labels = staged(components(links), "labels")
-    more = staged(crossing(buckets.select("key", "cls"), labels, classes, source, width, percent, least), "links")
+    more = staged(crossing(buckets.select("key", "cls", "n"), labels, classes, source, width, percent, least), "links")
     labels = components(links.union(more))
     named = classes.select("cls", "lead").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.select("cls", "lead", F.coalesce("component", "cls").alias("component"))

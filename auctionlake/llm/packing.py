@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import make_room
 from .subwords import subwords
 
 SCHEMA = (
@@ -110,6 +111,7 @@ def pack(
         raise ValueError("tiers must be rising powers of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(subwords)
         coder = subwords(tokenizer)
         end = np.asarray([end_id], coder.dtype).tobytes()
         task = TaskContext.get().partitionId() << 40

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import kept_in_worker
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level files write for each byte."""
@@ -58,11 +59,14 @@ class Subwords:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.asarray(ids, self.dtype).tobytes()
 
+    def made(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def part(self, piece: str) -> bytes:
         got = self.parts.get(piece)
         if got is None:
-            shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            got = self.made(piece)
             if len(self.parts) >= self.kept:
                 self.parts.clear()
             self.parts[piece] = got
@@ -75,7 +79,10 @@ class Subwords:
             return self.whole(word)
         if not text.isascii():
             text = self.tokenizer.normalizer.normalize_str(text)
-        return b"".join(map(self.part, self.pieces(text)))
+        pieces = self.pieces(text)
+        if len(pieces) == 1:  # kept as a word, not as a part as well
+            return self.parts.get(pieces[0]) or self.made(pieces[0])
+        return b"".join(map(self.part, pieces))
 
     def of_words(self, words: list[bytes]) -> bytes:
         missing = set(words).difference(self.words)
@@ -116,7 +123,7 @@ class Subwords:
         return self.of_words(folded.split())
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker(2)
 def subwords(path: str) -> Subwords:
     """One table per Python worker and file."""
     return Subwords(path)
