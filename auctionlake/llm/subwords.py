@@ -8,7 +8,10 @@ table of the Python worker. Files of another make are encoded text by text.
 from __future__ import annotations
 
 import json
+import os
 from array import array
+from itertools import islice
+from string import punctuation
 
 import numpy as np
 import regex
@@ -24,6 +27,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: The pre-tokens of the public files: contractions, runs of letters, single digits, runs of other characters.
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Below this character texts are in composed form and lower case is one and the same in all libraries.
+PLAIN = "\u0250"
+
+
 class Subwords:
     """Ids of texts as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) integers in bytes.
 
@@ -40,6 +49,7 @@ class Subwords:
             made = json.load(file)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.marks = [t["content"].lower().encode() for t in made.get("added_tokens") or []]
+        self.hint = os.path.commonprefix(self.marks)  # stands in every text that holds a mark
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = (
             len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert") is True
@@ -51,6 +61,9 @@ class Subwords:
         if self.by_word:
             self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.letters = byte_letters()
+            self.runs = steps[0]["pattern"]["Regex"] == RUNS
+            self.plain = {"NFC", "Lowercase"} <= {n.get("type") for n in made["normalizer"]["normalizers"]} <= {"NFC", "Lowercase", "Replace"}
+            self.tokenize, self.normalize = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -61,7 +74,7 @@ class Subwords:
 
     def made(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def part(self, piece: str) -> bytes:
         got = self.parts.get(piece)
@@ -77,8 +90,15 @@ class Subwords:
         text = word.decode("utf-8", "replace")
         if not text.isprintable():  # libraries differ in which control characters are white space
             return self.whole(word)
-        if not text.isascii():
-            text = self.tokenizer.normalizer.normalize_str(text)
+        plain = text.isascii()
+        if not plain:
+            plain = self.plain and max(text) < PLAIN
+            text = text.lower() if plain else self.normalize(text)
+        if plain and self.runs:  # letters alone, or before marks, need no search
+            letters = text.rstrip(punctuation)
+            if letters.isalpha():
+                got = self.parts.get(letters) or self.made(letters)
+                return got if len(letters) == len(text) else got + self.part(text[len(letters):])
         pieces = self.pieces(text)
         if len(pieces) == 1:  # kept as a word, not as a part as well
             return self.parts.get(pieces[0]) or self.made(pieces[0])
@@ -94,6 +114,11 @@ class Subwords:
                 self.words[w] = self.older.get(w) or self.word(w)
         return b"".join(map(self.words.__getitem__, words))
 
+    def settle(self, most: int = 60_000) -> None:
+        """Let go of all but the ``most`` words met first, which hold the frequent ones: what a worker keeps while it waits for tasks."""
+        self.older, self.parts = {}, {}
+        self.words = dict(islice(self.words.items(), most))
+
     def one(self, word: bytes) -> bytes:
         """Ids of one word without blanks, A-Z lower-cased, special tokens' strings included."""
         got = self.words.get(word)
@@ -108,10 +133,7 @@ class Subwords:
 
     def marked(self, folded: bytes) -> bool:
         """Whether a special token's own string stands in the text; such texts are encoded as a whole."""
-        for m in self.marks:
-            if m in folded:
-                return True
-        return False
+        return bool(self.marks) and self.hint in folded and any(m in folded for m in self.marks)
 
     def text(self, text: bytes | None) -> bytes:
         """Ids of a whole text; null has none."""

@@ -82,6 +82,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
                 counts.append(len(got) // coder.dtype.itemsize)
                 ids.append(press(got))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "text_crc32", "n", "ids"])
+        coder.settle()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), crc32(F.col(text_col)).alias("text_crc32"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, text_crc32 bigint, n bigint, ids binary")

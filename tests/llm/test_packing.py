@@ -57,3 +57,14 @@ def test_word_table_equals_the_library():
     coder, whole = Subwords(vocabulary(), kept=20), Tokenizer.from_file(vocabulary())
     for text in ("Don't STOP 'S 12ab!!?", "é Ångström İx ΣΣ", "a b c\x1cd\x85e", "<|ENDOFTEXT|> a <|endoftext|>b", " ".join(map(str, range(300)))):
         assert np.frombuffer(coder.text(text.encode()), coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_words_need_no_search_and_equal_the_library():
+    coder, whole = Subwords(vocabulary()), Tokenizer.from_file(vocabulary())
+    letters = [chr(c) for c in range(33, 0x250)]
+    odd = ["e\u0301", "\u0391\u03a3.", "a_", "_a_", "a1.", "l's", "''s", "x's...", "\u2026", "a\u2026", "<|x", "a<|endoftext|>b", "\u212b", "a\u00adb"]
+    for word in [*letters, *(c + end for c in letters for end in (".", "x'", "'s")), *odd]:
+        assert np.frombuffer(coder.text(word.encode()), coder.dtype).tolist() == whole.encode(word, add_special_tokens=False).ids, word
+    coder.pieces = coder.normalize = None
+    for word in ("\u00c9t\u00e9,", "Plain", "plain!!", "stra\u00dfe"):
+        assert np.frombuffer(coder.text(word.encode()), coder.dtype).tolist() == whole.encode(word, add_special_tokens=False).ids
