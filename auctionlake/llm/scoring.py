@@ -158,7 +158,7 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
     g |= {"B": h.T @ dr, "b": dr.sum(axis=0)}
     dh = (dr @ w["B"].T).reshape(*x.shape, WIDTH)
     ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= (ds * a).sum(axis=2, keepdims=True)
+    ds -= (dh * (h.reshape(x.shape + (WIDTH,)) - e)).sum(axis=2, keepdims=True)  # sums of ds * a: h - e is what attention added
     ds *= a
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], axis=2).reshape(-1, 3 * WIDTH)
     g["A"] = e.reshape(-1, WIDTH).T @ dqkv
@@ -172,15 +172,26 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
     return float(-loss / n), g, listed[first]
 
 
+def places(n: int, least: int, rng: np.random.Generator, turn: int, rounds: int) -> np.ndarray:
+    """Where the windows of round ``turn`` begin in ``n`` ids: all rounds together go through every window, in random order, and start
+    over until each round has ``least``. ``rng`` must be in the same state in every round."""
+    first = np.append(np.arange(0, n - 1 - WINDOW, WINDOW), n - 1 - WINDOW)
+    share = max(-(-len(first) // rounds), least)
+    return first[rng.permutation(len(first))[np.arange(turn * share, (turn + 1) * share) % len(first)]]
+
+
 def descend(
-    model: Model, second: dict[str, np.ndarray], flat: np.ndarray, steps: int, rng: np.random.Generator, turn: int = 0, rounds: int = 1, batch: int = 96, rate: float = 2e-2,
+    model: Model, second: dict[str, np.ndarray], flat: np.ndarray, steps: int, rng: np.random.Generator, turn: int = 0, rounds: int = 1, batch: int = 192, rate: float = 2e-2,
 ) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Weights and second moments after ``steps`` steps of Adam on random windows of ``flat`` in round ``turn``; rows of "E" whose id is not met stay."""
+    """Weights and second moments after round ``turn`` of Adam over ``flat``, whose windows are all met in ``rounds`` rounds of at least
+    ``steps`` steps each; rows of "E" whose id is not met stay."""
     w, second = ({k: v.copy() for k, v in part.items()} for part in (model.weights, second))
+    first_ids = places(len(flat), steps * batch, rng, turn, rounds)
+    steps = -(-len(first_ids) // batch)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     here = replace(model, weights=w)
-    for t in range(turn * steps + 1, (turn + 1) * steps + 1):
-        at = rng.integers(0, len(flat) - WINDOW, batch)[:, None] + np.arange(WINDOW)
+    for t, begun in enumerate(np.array_split(first_ids, steps), turn * steps + 1):
+        at = begun[:, None] + np.arange(WINDOW)
         _, g, met = gradients(here, flat[at], flat[at + 1])
         now = rate * min(1, t / 30, 2.5 * (1 - t / (rounds * steps + 1)) + 0.02)
         for k in w:
@@ -214,8 +225,9 @@ def training_ids(held: np.ndarray, lengths: np.ndarray, codes: np.ndarray, sub_l
 def fit(blocks: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = 5, steps: int = 100, pieces: int = 64, seed: int = 3) -> Model:
     """The model fitted on the training documents of all blocks, in the tasks that hold them.
 
-    In each round every block takes the common weights through steps of its own, on windows drawn from all its training
-    documents: ``steps`` in the largest block, in others in proportion to their ids. The next weights, and Adam's second moments, are the
+    In each round every block takes the common weights through steps of its own, over its share of the windows of its training documents:
+    in ``rounds`` rounds every training id, ends included, is learned from. Where there are few windows they are met again, for ``steps`` steps
+    a round in the largest block, in others in proportion to their ids. The next weights, and Adam's second moments, are the
     means over blocks, each weighing as many ids as it has. Embeddings travel for ids that occur. A task returns one mean, and means
     meet piece by piece, so the driver gets one set of weights a round.
     """
@@ -225,7 +237,7 @@ def fit(blocks: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = 5,
     second = {k: np.zeros_like(v) for k, v in model.weights.items()}
     heard = F.aggregate(F.arrays_zip("counts", "sub_lengths"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["counts"] * x["sub_lengths"])
     largest = blocks.select((heard + F.get("counts", F.lit(0)) * (BEFORE + 2)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= WINDOW + 1:
+    if not largest:
         return model
     source = blocks.select("block", "held", "lengths", "codes", "sub_lengths", "subs")
     for turn in range(rounds):
@@ -239,9 +251,10 @@ def fit(blocks: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = 5,
                     flat = training_ids(
                         cell(held), cell(lengths).astype(np.int64), np.frombuffer(codes.as_buffer(), "<i4"), cell(sub_lengths).astype(np.int64),
                         np.frombuffer(subs.as_buffer(), kind), end)
-                    if len(flat) > WINDOW + 1:
+                    if len(flat):
                         own = max(1, -(-steps * len(flat) // largest))
-                        sets = descend(begun, moments, flat, own, np.random.default_rng((seed, turn, block.as_py())), turn, rounds)
+                        flat = np.r_[np.full(max(0, WINDOW + 2 - len(flat)), end, flat.dtype), flat]
+                        sets = descend(begun, moments, flat, own, np.random.default_rng((seed, block.as_py())), turn, rounds)
                         total = total + len(flat) * np.concatenate([(v[used] if k == "E" else v).ravel() for part in sets for k, v in part.items()]).astype(np.float64)
                         weight += len(flat)
             if weight:
@@ -338,6 +351,7 @@ def blocks_of(docs: DataFrame, tokenizer: str, block_bytes: int) -> DataFrame:
                     yield flush()
         if names:
             yield flush()
+        coder.settle()
 
     return docs.mapInArrow(run, "block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, words array<binary>, counts array<bigint>, sub_lengths array<int>, subs binary")
 
@@ -374,7 +388,7 @@ def score(
 
     Documents are cut into blocks once, with each block's distinct words; words are counted over all training documents, and the
     counts are joined to each block's words, so a frequent word is one row per block. The attention model is fitted on
-    windows of all training documents (``fit``); its classes, and the odds of rare ids inside theirs, come from the counts of all. Weights
+    all windows of all training documents (``fit``); its classes, and the odds of rare ids inside theirs, come from the counts of all. Weights
     are averaged over blocks, so scores differ slightly where the same rows are dealt to other partitions. The
     score is the model's log10 probability of all ids of the text and its end, each from what stands before it; word counts only give
     the base score. Null and empty texts are their end alone; null ids and repeated rows are scored like others;

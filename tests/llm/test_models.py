@@ -222,6 +222,25 @@ def test_attention_learns_from_every_training_document(spark, tmp_path):
     assert blocks.count() > 2 and moved[counts > 0].mean() > 0.98 and not moved[counts == 0].any()
 
 
+def test_every_training_id_is_learned_from(monkeypatch):
+    ids, met, gradients = np.arange(1, 20_001), [], scoring.gradients
+    model = scoring.start(np.ones(20_002, np.int64))
+    second = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    monkeypatch.setattr(scoring, "gradients", lambda model, x, y: met.append(y.ravel()) or gradients(model, x, y))
+    for turn in range(3):
+        scoring.descend(model, second, np.r_[0, ids], 1, np.random.default_rng(5), turn, 3)
+    assert set(np.concatenate(met)) == set(ids) and sum(map(len, met)) < 22_000
+
+
+def test_few_training_ids_are_learned_from_too(spark):
+    docs = spark.createDataFrame([(k, "some words") for k in range(2)], "doc_id bigint, text string")
+    source = docs.select("doc_id", scoring.F.lit(False).alias("held"), docs.text.cast("binary").alias("text")).coalesce(1)
+    blocks = scoring.blocks_of(source, vocabulary(), 1)
+    counts = scoring.subword_counts(blocks, vocabulary())
+    model = scoring.fit(blocks, vocabulary(), counts, rounds=1, steps=2)
+    assert (model.weights["E"] != scoring.start(counts).weights["E"]).any(axis=1)[counts > 0].all()
+
+
 def test_score_of_held_out_documents_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = scoring.score(docs, vocabulary()).where("held_out").selectExpr("sum(score) / sum(n_tokens) as score", "sum(base_score) / sum(n_tokens) as base").first()
