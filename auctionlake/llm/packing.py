@@ -146,6 +146,7 @@ def pack(
                     yield from flush()
         if ids:
             yield from flush()
+        coder.settle()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -3,7 +3,7 @@
 import pandas as pd
 import pyarrow as pa
 
-from auctionlake.llm import langid, minhash
+from auctionlake.llm import langid, minhash, packing
 from auctionlake.llm.subwords import subwords, vocabulary
 
 
@@ -23,6 +23,24 @@ def test_stages_let_go_of_tables_of_others(spark):
     assert minhash.word_hashes.cache_info().currsize == 0
 
 
+def test_waiting_workers_hold_few_words(spark, monkeypatch):
+    class Task(Kept):
+        def select(self, *columns):
+            return self
+
+        def get(self):
+            return self
+
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(packing, "TaskContext", Task())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(f"{chr(97 + k % 26)}{k}" for k in range(90_000)).encode()]})
+    list(packing.pack(Task(), vocabulary(), 2)(iter([batch])))
+    coder = subwords(vocabulary())
+    assert 0 < len(coder.words) <= 60_000 and b"a0" in coder.words and not coder.older and not coder.parts
+
+
 def test_long_sets_are_dealt_to_groups_by_their_size(spark):
     rows = [(1, n, 200_000) for n in range(40)] + [(2, n, 10) for n in range(40)]
     found = spark.createDataFrame(rows, "a long, b long, n_b long").groupBy("a").agg(minhash.parts("*", "n_b", 256, 1 << 19).alias("d"))
