@@ -14,6 +14,7 @@ from itertools import islice
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -40,7 +41,7 @@ class Subwords:
     is still used; a full table of parts starts again from empty.
     """
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = kept
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -118,6 +119,7 @@ class Subwords:
         """Let go of all but the ``most`` words met first, which hold the frequent ones: what a worker keeps while it waits for tasks."""
         self.older, self.parts = {}, {}
         self.words = dict(islice(self.words.items(), most))
+        pa.default_memory_pool().release_unused()
 
     def one(self, word: bytes) -> bytes:
         """Ids of one word without blanks, A-Z lower-cased, special tokens' strings included."""
