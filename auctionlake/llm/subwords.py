@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import weakref
 from array import array
+from collections.abc import Iterable
 from itertools import islice
 from string import punctuation
 
@@ -32,13 +35,27 @@ def byte_letters() -> dict[int, str]:
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this character texts are in composed form and lower case is one and the same in all libraries.
 PLAIN = "\u0250"
+beyond_plain = re.compile(f"[^\0-{chr(ord(PLAIN) - 1)}]").search
+
+
+class Words(dict):
+    """Ids of words by word; one that is not held is encoded when it is looked up."""
+
+    def __init__(self, coder: Subwords, held: Iterable[tuple[bytes, bytes]] = ()):
+        super().__init__(held)
+        self.coder = coder
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.coder.older.get(word) or self.coder.word(word)
+        self.coder.keep(word, got)
+        return got
 
 
 class Subwords:
     """Ids of texts as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) integers in bytes.
 
     ``kept`` bounds the words and the word parts held: a full table of words is set aside, and the next one takes over what
-    is still used; a full table of parts starts again from empty.
+    is still used; a full table of parts starts again from empty. Letters before marks are kept as a word of their own.
     """
 
     def __init__(self, path: str, kept: int = 250_000):
@@ -61,11 +78,11 @@ class Subwords:
         )
         if self.by_word:
             self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
-            self.letters = byte_letters()
+            self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
             self.runs = steps[0]["pattern"]["Regex"] == RUNS
             self.plain = {"NFC", "Lowercase"} <= {n.get("type") for n in made["normalizer"]["normalizers"]} <= {"NFC", "Lowercase", "Replace"}
             self.tokenize, self.normalize = self.tokenizer.model.tokenize, self.tokenizer.normalizer.normalize_str
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(weakref.proxy(self))
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -74,7 +91,7 @@ class Subwords:
         return np.asarray(ids, self.dtype).tobytes()
 
     def made(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def part(self, piece: str) -> bytes:
@@ -93,44 +110,49 @@ class Subwords:
             return self.whole(word)
         plain = text.isascii()
         if not plain:
-            plain = self.plain and max(text) < PLAIN
+            plain = self.plain and not beyond_plain(text)
             text = text.lower() if plain else self.normalize(text)
         if plain and self.runs:  # letters alone, or before marks, need no search
             letters = text.rstrip(punctuation)
             if letters.isalpha():
-                got = self.parts.get(letters) or self.made(letters)
-                return got if len(letters) == len(text) else got + self.part(text[len(letters):])
+                if len(letters) == len(text):
+                    return self.made(letters)
+                return self.stem(letters) + self.part(text[len(letters):])
         pieces = self.pieces(text)
         if len(pieces) == 1:  # kept as a word, not as a part as well
             return self.parts.get(pieces[0]) or self.made(pieces[0])
         return b"".join(map(self.part, pieces))
 
-    def of_words(self, words: list[bytes]) -> bytes:
-        missing = set(words).difference(self.words)
-        if missing:
-            if len(self.words) + len(missing) > self.kept:  # words still in use come back from the older table
-                self.older, self.words = self.words, {}
-                missing = set(words)
-            for w in missing:
-                self.words[w] = self.older.get(w) or self.word(w)
-        return b"".join(map(self.words.__getitem__, words))
+    def stem(self, letters: str) -> bytes:
+        """Ids of the letters before a word's marks, which other words share."""
+        key = letters.encode()
+        got = self.words.get(key) or self.older.get(key)
+        if got is None:
+            got = self.made(letters)
+            self.keep(key, got)
+        return got
+
+    def keep(self, word: bytes, ids: bytes) -> None:
+        if len(self.words) >= self.kept:  # words still in use come back from the older table
+            self.older = {}
+            self.older = dict(self.words)
+            self.words.clear()
+        self.words[word] = ids
 
     def settle(self, most: int = 60_000) -> None:
         """Let go of all but the ``most`` words met first, which hold the frequent ones: what a worker keeps while it waits for tasks."""
         self.older, self.parts = {}, {}
-        self.words = dict(islice(self.words.items(), most))
+        self.words = Words(weakref.proxy(self), islice(self.words.items(), most))
         pa.default_memory_pool().release_unused()
 
     def one(self, word: bytes) -> bytes:
         """Ids of one word without blanks, A-Z lower-cased, special tokens' strings included."""
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= self.kept:
-                self.older, self.words = self.words, {}
             got = self.older.get(word)
             if got is None:
                 got = self.whole(word) if not self.by_word or self.marked(word) else self.word(word)
-            self.words[word] = got
+            self.keep(word, got)
         return got
 
     def marked(self, folded: bytes) -> bool:
@@ -144,7 +166,7 @@ class Subwords:
         folded = text.lower()
         if not self.by_word or self.marked(folded):
             return self.whole(text)
-        return self.of_words(folded.split())
+        return b"".join(map(self.words.__getitem__, folded.split()))
 
 
 @kept_in_worker(2)

@@ -68,3 +68,23 @@ def test_plain_words_need_no_search_and_equal_the_library():
     coder.pieces = coder.normalize = None
     for word in ("\u00c9t\u00e9,", "Plain", "plain!!", "stra\u00dfe"):
         assert np.frombuffer(coder.text(word.encode()), coder.dtype).tolist() == whole.encode(word, add_special_tokens=False).ids
+
+
+def test_letters_before_marks_are_encoded_once(monkeypatch):
+    coder, whole, met = Subwords(vocabulary()), Tokenizer.from_file(vocabulary()), []
+    tokenize = coder.tokenize
+    monkeypatch.setattr(coder, "tokenize", lambda piece: met.append(piece) or tokenize(piece))
+    text = "zubrowska, zubrowska. Zubrowska!! (zubrowska) zubrowska NIÑOSKA... niñoska, niñoska"
+    assert np.frombuffer(coder.text(text.encode()), coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert met.count("zubrowska") <= 2 and len([x for x in met if x.startswith("ni")]) <= 2
+
+
+@pytest.mark.parametrize("kept", [1, 2, 3, 7])
+def test_full_tables_lose_no_word(kept):
+    coder, whole = Subwords(vocabulary(), kept=kept), Tokenizer.from_file(vocabulary())
+    text = "one, two. one two! three; Three é Éa éa, one? <|endoftext| 12 a1 one"
+    for _ in range(3):
+        assert np.frombuffer(coder.text(text.encode()), coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(map(coder.one, text.encode().lower().split())), coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert len(coder.words) <= kept and len(coder.older) <= kept
+        coder.settle(1)
