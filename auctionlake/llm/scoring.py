@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -30,6 +31,7 @@ class Model:
     classes: np.ndarray  #: class of each id; the last id ends a text
     slots: np.ndarray  #: place of a frequent id in its class
     inside: np.ndarray  #: ln P(id | class) of the other ids, 0 of frequent ones
+    wide: dict[str, np.ndarray] | None = None  #: ``widened`` weights, where they are kept
 
     @property
     def end(self) -> int:
@@ -62,113 +64,162 @@ def start(counts: np.ndarray, seed: int = 3) -> Model:
     return Model(weights, classes, slots, odds)
 
 
-def hidden(w: dict[str, np.ndarray], x: np.ndarray, first: int) -> tuple[np.ndarray, tuple]:
-    """Hidden states at positions ``first`` and later of windows of ids; each position attends to itself and those before."""
+def row_sums(z: np.ndarray) -> np.ndarray:
+    """Sums over the last axis; a product with ones is faster than adding up many short rows."""
+    return (z.reshape(-1, z.shape[-1]) @ np.ones(z.shape[-1], z.dtype)).reshape(z.shape[:-1])
+
+
+def product(a: np.ndarray, b: np.ndarray, rows: int = 128) -> np.ndarray:
+    """``a.T @ b`` of long and narrow matrices, by pieces that fit the kernels for small ones."""
+    whole = len(a) // rows * rows
+    if whole <= rows:
+        return a.T @ b
+    out = a[whole:].T @ b[whole:]
+    out += np.matmul(a[:whole].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, rows, b.shape[1])).sum(axis=0)
+    return out
+
+
+def turned(z: np.ndarray) -> np.ndarray:
+    """The last two axes exchanged, in memory too: products with it are faster."""
+    return np.ascontiguousarray(z.swapaxes(-1, -2))
+
+
+def with_one(z: np.ndarray) -> np.ndarray:
+    """Rows with a one as their last place, which meets the biases in ``widened`` weights."""
+    out = np.ones((len(z), z.shape[1] + 1), z.dtype)
+    out[:, :-1] = z
+    return out
+
+
+def widened(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Output weights with their biases as a last row; "B" makes the hidden state's last place a one."""
+    into = np.zeros((WIDTH + 1, HIDDEN + 1), w["B"].dtype)
+    into[:-1, :-1], into[-1, :-1], into[-1, -1] = w["B"], w["b"], 1
+    return {"B": into, "C": np.vstack([w["C"], w["c"]]), "D": np.concatenate([w["D"], w["d"][:, None]], axis=1)}
+
+
+def attended(w: dict[str, np.ndarray], x: np.ndarray, first: int) -> tuple[np.ndarray, tuple]:
+    """What attention makes of positions ``first`` and later of windows of ids; each attends to itself and those before."""
     n, length = x.shape
-    e = w["E"][x]
+    e = w["E"].take(x, axis=0)
     e += w["P"]
     q, k, v = np.split((e.reshape(-1, WIDTH) @ w["A"]).reshape(n, length, 3 * WIDTH), 3, axis=2)
-    a = np.matmul(q[:, first:], k.transpose(0, 2, 1))
+    a = np.matmul(q[:, first:], turned(k))
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
     a *= np.tri(length, dtype=np.float32)[first:]
-    a /= a.sum(axis=2, keepdims=True)
+    total = row_sums(a)[..., None]  # divides the sums of values, which are fewer than the weights
     h = np.matmul(a, v)
+    h /= total
     h += e[:, first:]
-    h = h.reshape(-1, WIDTH)
-    r = h @ w["B"]
-    r += w["b"]
-    np.maximum(r, 0, out=r)
-    return r, (e, q, k, v, a, h)
+    return h.reshape(-1, WIDTH), (e, q, k, v, a, total)
+
+
+def hidden(wide: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Hidden states, and a one as last place."""
+    r = with_one(h) @ wide["B"]
+    return np.clip(r, 0, np.inf, out=r)
 
 
-def by_class(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of ids, the order that sorts them by class, and where each class of frequent ids begins and ends in it."""
-    own = model.classes[y]
-    order = np.argsort(own.astype(np.int16), kind="stable")
-    return own, order, np.searchsorted(own[order], np.arange(SETS + 1))
+def by_class(model: Model, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order that sorts ids by class, their classes in it, and where each class of frequent ids begins and ends in it."""
+    own = model.classes[y].astype(np.int16)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    return order, own, np.searchsorted(own, np.arange(SETS + 1)).tolist()
 
 
-def in_class(w: dict[str, np.ndarray], r: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def in_class(wide: dict[str, np.ndarray], r: np.ndarray, bounds: list[int]) -> np.ndarray:
     """Logits of the ids of each row's class from hidden states sorted by class."""
-    z = w["d"][own]
+    z = np.empty((bounds[-1], SIZE), r.dtype)
     for s in range(SETS):
         i, j = bounds[s], bounds[s + 1]
         if i < j:
-            z[i:j] += r[i:j] @ w["D"][s]
+            np.matmul(r[i:j], wide["D"][s], out=z[i:j])
     return z
 
 
+def softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln P of the places ``at`` from logits, which become their exponentials, the sums of these, and where the places are in all logits.
+    Rows are moved to a maximum of zero only where a sum could overflow or vanish."""
+    spots = np.arange(len(z)) * z.shape[1] + at
+    got = z.ravel().take(spots)
+    if len(z) and not (z.max() < 80 and got.min() > -80):
+        z -= z.max(axis=1, keepdims=True)
+        got = z.ravel().take(spots)
+    np.exp(z, out=z)
+    total = row_sums(z)
+    got -= np.log(total)
+    return got, total, spots
+
+
 def chances(model: Model, r: np.ndarray, y: np.ndarray) -> np.ndarray:
     """ln P of ids ``y`` from hidden states: of the class, and of the id among its class."""
-    w = model.weights
-    own, order, bounds = by_class(model, y)
-    z = r @ w["C"]
-    z += w["c"]
-    np.clip(z, -60, 60, out=z)
-    out = z[np.arange(len(y)), own] + model.inside[y]
-    np.exp(z, out=z)
-    out -= np.log(z.sum(axis=1))
-    order = order[:bounds[-1]]
-    z = in_class(w, r[order], own[order], bounds)
-    np.clip(z, -60, 60, out=z)
-    top = z[np.arange(len(z)), model.slots[y[order]]]
-    np.exp(z, out=z)
-    out[order] += top - np.log(z.sum(axis=1))
+    wide = model.wide or widened(model.weights)
+    order, own, bounds = by_class(model, y)
+    r, y, few = with_one(r[:, :HIDDEN].take(order, axis=0)), y[order], bounds[-1]
+    got, *_ = softmax(r @ wide["C"], own)
+    got += model.inside[y]
+    got[:few] += softmax(in_class(wide, r, bounds), model.slots[y[:few]])[0]
+    out = np.empty_like(got)
+    out[order] = got
     return out
 
 
 def error(z: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Softmax of logits in place: ln P of the places ``at``, and the gradient of their mean loss over ``n`` rows."""
-    z -= z.max(axis=1, keepdims=True)
-    rows = np.arange(len(z))
-    got = z[rows, at]
-    np.exp(z, out=z)
-    total = z.sum(axis=1)
-    got -= np.log(total)
+    got, total, spots = softmax(z, at)
     total *= n
-    z /= total[:, None]
-    z[rows, at] -= 1 / n
+    z *= (1 / total)[:, None]
+    z.ravel()[spots] -= 1 / n
     return got, z
 
 
 def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss of next ids ``y`` over whole windows, its gradients, and the ids that the rows of gradient "E" belong to."""
-    w, y = model.weights, y.ravel()
-    r, (e, q, k, v, a, h) = hidden(w, x, 0)
+    w, y, wide = model.weights, y.ravel(), model.wide or widened(model.weights)
+    h, (e, q, k, v, a, total) = attended(w, x, 0)
     n = len(y)
-    own, order, bounds = by_class(model, y)
-    z = r @ w["C"]
-    z += w["c"]
-    got, p = error(z, own, n)
+    order, own, bounds = by_class(model, y)
+    sorted_h, y, few = h.take(order, axis=0), y[order], bounds[-1]
+    r = hidden(wide, sorted_h)
+    got, p = error(r @ wide["C"], own, n)
     loss = got.sum() + model.inside[y].sum()
-    g = {"C": r.T @ p, "c": p.sum(axis=0), "D": np.zeros_like(w["D"]), "d": np.zeros_like(w["d"])}
-    dr = p @ w["C"].T
-    order = order[:bounds[-1]]
-    sorted_r, more = r[order], np.empty((len(order), HIDDEN), r.dtype)
-    got, p = error(in_class(w, sorted_r, own[order], bounds), model.slots[y[order]], n)
+    classes, ids = product(r, p), np.zeros_like(wide["D"])
+    dr = p @ turned(w["C"])
+    got, p = error(in_class(wide, r, bounds), model.slots[y[:few]], n)
     loss += got.sum()
+    back, more = turned(w["D"]), np.empty((few, HIDDEN), r.dtype)
     for s in range(SETS):
         i, j = bounds[s], bounds[s + 1]
         if i < j:
-            g["D"][s], g["d"][s] = sorted_r[i:j].T @ p[i:j], p[i:j].sum(axis=0)
-            more[i:j] = p[i:j] @ w["D"][s].T
-    dr[order] += more
-    dr *= r > 0
-    g |= {"B": h.T @ dr, "b": dr.sum(axis=0)}
-    dh = (dr @ w["B"].T).reshape(*x.shape, WIDTH)
-    ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= (dh * (h.reshape(x.shape + (WIDTH,)) - e)).sum(axis=2, keepdims=True)  # sums of ds * a: h - e is what attention added
+            ids[s] = product(r[i:j], p[i:j])
+            np.matmul(p[i:j], back[s], out=more[i:j])
+    dr[:few] += more
+    dr *= r[:, :-1] > 0
+    into = product(with_one(sorted_h), dr)
+    g = {"B": into[:-1], "b": into[-1], "C": classes[:-1], "c": classes[-1], "D": ids[:, :-1], "d": ids[:, -1]}
+    dh = np.empty_like(h)
+    dh[order] = dr @ turned(w["B"])
+    dh = dh.reshape(e.shape)
+    part = dh / total
+    ds = np.matmul(part, turned(v))
+    ds -= row_sums(part * (h.reshape(e.shape) - e))[..., None]  # sums of ds * a: h - e is what attention added
     ds *= a
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], axis=2).reshape(-1, 3 * WIDTH)
-    g["A"] = e.reshape(-1, WIDTH).T @ dqkv
-    de = dh + (dqkv @ w["A"].T).reshape(dh.shape)
+    dqkv = np.empty((*x.shape, 3 * WIDTH), ds.dtype)
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH:2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), part, out=dqkv[..., 2 * WIDTH:])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    g["A"] = product(e.reshape(-1, WIDTH), dqkv)
+    de = dh + (dqkv @ turned(w["A"])).reshape(dh.shape)
     g["P"] = de.sum(axis=0)
     flat = x.ravel()
+    flat = flat.astype(np.uint16) if len(model.classes) <= 1 << 16 else flat  # short numbers are sorted faster
     order = np.argsort(flat, kind="stable")
     listed = flat[order]
     first = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]])
-    g["E"] = np.add.reduceat(de.reshape(-1, WIDTH)[order], first, axis=0)
+    g["E"] = np.add.reduceat(de.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
     return float(-loss / n), g, listed[first]
 
 
@@ -180,6 +231,21 @@ def places(n: int, least: int, rng: np.random.Generator, turn: int, rounds: int)
     return first[rng.permutation(len(first))[np.arange(turn * share, (turn + 1) * share) % len(first)]]
 
 
+def adam(first: np.ndarray, second: np.ndarray, g: np.ndarray, t: int, rate: float) -> np.ndarray:
+    """What step ``t`` takes off the weights; the moments change in place."""
+    part = g - first
+    part *= 0.1
+    first += part
+    np.multiply(g, g, out=part)
+    part -= second
+    part *= 0.01
+    second += part
+    np.multiply(second, 1 / (1 - 0.99**t), out=part)
+    np.sqrt(part, out=part)
+    part += 1e-8
+    return np.divide(first * (rate / (1 - 0.9**t)), part, out=part)
+
+
 def descend(
     model: Model, second: dict[str, np.ndarray], flat: np.ndarray, steps: int, rng: np.random.Generator, turn: int = 0, rounds: int = 1, batch: int = 192, rate: float = 2e-2,
 ) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -188,19 +254,22 @@ def descend(
     w, second = ({k: v.copy() for k, v in part.items()} for part in (model.weights, second))
     first_ids = places(len(flat), steps * batch, rng, turn, rounds)
     steps = -(-len(first_ids) // batch)
-    first = {k: np.zeros_like(v) for k, v in w.items()}
+    small = [k for k in w if k != "E"]
+    joined, moments = (np.concatenate([part[k].ravel() for k in small]) for part in (w, second))
+    at = 0
+    for k in small:  # become views of the joined ones
+        w[k], second[k] = (part[at:at + w[k].size].reshape(w[k].shape) for part in (joined, moments))
+        at += w[k].size
+    means, rows = np.zeros_like(joined), np.zeros_like(w["E"])
     here = replace(model, weights=w)
     for t, begun in enumerate(np.array_split(first_ids, steps), turn * steps + 1):
         at = begun[:, None] + np.arange(WINDOW)
         _, g, met = gradients(here, flat[at], flat[at + 1])
         now = rate * min(1, t / 30, 2.5 * (1 - t / (rounds * steps + 1)) + 0.02)
-        for k in w:
-            rows = met if k == "E" else slice(None)
-            one, two = first[k][rows], second[k][rows]
-            one = one + 0.1 * (g[k] - one)
-            two = two + 0.01 * (g[k] * g[k] - two)
-            first[k][rows], second[k][rows] = one, two
-            w[k][rows] -= now * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-8)
+        joined -= adam(means, moments, np.concatenate([g[k].ravel() for k in small]), t, now)
+        one, two = rows[met], second["E"][met]
+        w["E"][met] -= adam(one, two, g["E"], t, now)
+        rows[met], second["E"][met] = one, two
     return w, second
 
 
@@ -211,15 +280,16 @@ def cell(listed: pa.ListScalar) -> np.ndarray:
 
 def training_ids(held: np.ndarray, lengths: np.ndarray, codes: np.ndarray, sub_lengths: np.ndarray, subs: np.ndarray, end: int) -> np.ndarray:
     """The ids of a block's training documents, each after a context of ends and closed by one."""
-    few = ~np.repeat(held, lengths)
-    own, n = codes[few], lengths[~held]
-    many = sub_lengths[own]
-    at = np.repeat((np.cumsum(sub_lengths) - sub_lengths)[own] - (np.cumsum(many) - many), many)
-    at += np.arange(len(at))
-    whole = np.bincount(np.repeat(np.arange(len(n)), n), many, len(n)).astype(np.int64)
-    out = np.full(len(at) + len(n) * (BEFORE + 2), end, np.int32)
-    out[np.arange(len(at)) + np.repeat(np.arange(len(n)) * (BEFORE + 2) + BEFORE + 1, whole)] = subs[at]
-    return out
+    own, n = codes[~np.repeat(held, lengths)], lengths[~held]
+    own = np.insert(own, np.cumsum(n) - n, len(sub_lengths))  # what stands between texts is a word more, of BEFORE + 2 ends
+    many = np.append(sub_lengths, BEFORE + 2)
+    starts, subs = np.cumsum(many) - many, np.append(subs.astype(np.int32), np.full(BEFORE + 2, end, np.int32))
+    many = many[own]
+    ends = np.cumsum(many)
+    kind = np.int32 if len(ends) and ends[-1] < 1 << 31 else np.int64
+    at = np.repeat((starts[own] - (ends - many)).astype(kind), many)
+    at += np.arange(len(at), dtype=kind)
+    return np.append(subs.take(at[1:]), np.full(min(1, len(n)), end, np.int32))  # one end goes from the front to the back
 
 
 def fit(blocks: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = 5, steps: int = 100, pieces: int = 64, seed: int = 3) -> Model:
@@ -279,7 +349,7 @@ def fit(blocks: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = 5,
     return model
 
 
-def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, most: int = 128) -> np.ndarray:
+def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, most: int = 256) -> np.ndarray:
     """ln P of every id of consecutive texts and of each text's end, in order (lengths plus one per text).
 
     A text is laid out after a context of end ids and cut into overlapping windows; in each window the last STRIDE positions
@@ -295,10 +365,11 @@ def log_probabilities(model: Model, ids: np.ndarray, lengths: np.ndarray, most:
     ends = np.cumsum(windows)
     first = np.repeat(offsets - STRIDE * (ends - windows), windows) + STRIDE * np.arange(int(ends[-1]) if len(ends) else 0)
     out = np.empty((len(first), STRIDE), np.float32)
+    model = replace(model, wide=widened(model.weights))
     for k in range(0, len(first), most):
         x = z[first[k:k + most, None] + np.arange(WINDOW + 1)]
-        r, _ = hidden(model.weights, x[:, :WINDOW], BEFORE)
-        out[k:k + most] = chances(model, r, x[:, BEFORE + 1:].ravel()).reshape(-1, STRIDE)
+        h, _ = attended(model.weights, x[:, :WINDOW], BEFORE)
+        out[k:k + most] = chances(model, hidden(model.wide, h), x[:, BEFORE + 1:].ravel()).reshape(-1, STRIDE)
     place = np.arange(len(first))[:, None] * STRIDE + np.arange(STRIDE) - np.repeat((ends - windows) * STRIDE, windows)[:, None]
     return out[place < np.repeat(targets, windows)[:, None]]
 
@@ -308,6 +379,14 @@ def held_out(doc_id: Column) -> Column:
     return crc32(doc_id) % 7 == 2
 
 
+def numbered() -> defaultdict[bytes, int]:
+    """Words by number, in the order in which they are looked up first; the end of a text is 0."""
+    words: defaultdict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__
+    words[b""]  # noqa: B018
+    return words
+
+
 def blocks_of(docs: DataFrame, tokenizer: str, block_bytes: int) -> DataFrame:
     """One row per block of consecutive documents: ids and word numbers, and the block's words with subword ids and training counts.
     Word 0 is the end of a text."""
@@ -318,7 +397,7 @@ def blocks_of(docs: DataFrame, tokenizer: str, block_bytes: int) -> DataFrame:
         names: list = []
         held: list[bool] = []
         codes: list[np.ndarray] = []
-        words: dict[bytes, int] = {b"": 0}
+        words = numbered()
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -334,15 +413,14 @@ def blocks_of(docs: DataFrame, tokenizer: str, block_bytes: int) -> DataFrame:
                 "sub_lengths": (np.asarray([len(s) for s in subs]) // coder.dtype.itemsize).tolist(), "subs": b"".join(subs),
             }
             seen += 1
-            names, held, codes, words, size = [], [], [], {b"": 0}, 0
+            words.default_factory = None  # else the words would stay until the next collection of garbage
+            names, held, codes, words, size = [], [], [], numbered(), 0
             return pa.RecordBatch.from_pylist([row], BLOCK)
 
         for batch in batches:
             for name, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = text.as_py() or b""
                 own = raw.lower().split()
-                for x in set(own).difference(words):
-                    words[x] = len(words)
                 codes.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
                 names.append(name)
                 held.append(out)
